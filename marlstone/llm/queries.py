@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_counts, url_filter
+from . import common, decontaminate, language_model, packing, quality, secrets, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica with known damage."""
+    records = warc.render(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    work = common.Workspace(spark, "warc")
+    return warc.audit(work.save(warc.digests(records), "primary"), work.save(warc.digests(warc.damaged(records)), "replica"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -27,7 +38,17 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op5_best_fit_packing, op6_quality_rules, op7_url_filters)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_token_counts, op3_warc_fixity, op4_secret_scans, op5_best_fit_packing, op6_quality_rules, op7_url_filters,
+    op9_benchmark_decontamination, op10_lm_scoring)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
@@ -56,6 +77,16 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   not base_failed and n_words <= 100000 and word_chars / n_words between 2 and 20 and n_symbols / n_words <= 0.1
     and n_stops / n_words >= 0.02 and n_dup_lines / n_lines <= 0.5 and n_bullet / n_lines <= 0.9 and n_dots / n_lines <= 0.5 as kept
 from j""",
+    "op3_warc_fixity": """
+with r as (select page_id, coalesce(page_id // 1024, 0) as volume, coalesce(html, '') as html, coalesce(url, '') as url from pages),
+w as (select page_id, volume, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+        || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+        || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as record from r),
+o as (select *, coalesce(sum(strlen(record)) over (partition by volume order by page_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", encode(record) as raw, hex(encode(record)) as h from w),
+d as (select *, strlen(record) // 2 as half, case when page_id % 97 = 13 then 'flip' when page_id % 211 = 7 then 'cut' when page_id % 307 = 11 then 'lost' end as damage from o)
+select page_id, volume, "offset", strlen(record)::bigint as length, case damage when 'lost' then 'missing' else 'corrupt' end as status, sha256(raw) as sha256,
+  case damage when 'flip' then sha256(unhex(substr(h, 1, 2 * half) || '00' || substr(h, 2 * half + 3))) when 'cut' then sha256(unhex(substr(h, 1, 2 * half))) end as replica_sha256
+from d where damage is not null""",
     "op7_url_filters": """
 with r as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
