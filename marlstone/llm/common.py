@@ -75,7 +75,6 @@ def components(edges: DataFrame, work: Workspace, name: str = "components", roun
     costs one round at most; the old one is deleted. Edges with a null end and loops are ignored; an
     empty input gives no rows.
     """
-    spark = work.spark
     clean = edges.where("a is not null and b is not null and a != b")
     now = work.save(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     before = None
@@ -96,6 +95,4 @@ def components(edges: DataFrame, work: Workspace, name: str = "components", roun
         before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return spark.createDataFrame([], "node long, component long").unionAll(
-        now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    ).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

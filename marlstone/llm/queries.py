@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, language_model, packing, quality, secrets, token_counts, url_filter, warc
+from . import common, decontaminate, language_model, near_duplicates, packing, quality, secrets, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -48,7 +52,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op3_warc_fixity, op4_secret_scans, op5_best_fit_packing, op6_quality_rules, op7_url_filters,
-    op9_benchmark_decontamination, op10_lm_scoring)}
+    op8_minhash_near_dedup, op9_benchmark_decontamination, op10_lm_scoring)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
@@ -77,6 +81,15 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   not base_failed and n_words <= 100000 and word_chars / n_words between 2 and 20 and n_symbols / n_words <= 0.1
     and n_stops / n_words >= 0.02 and n_dup_lines / n_lines <= 0.5 and n_bullet / n_lines <= 0.9 and n_dots / n_lines <= 0.5 as kept
 from j""",
+    "op8_minhash_near_dedup": """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\x0C\\r]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:least(i + 4, len(w))], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id != b.doc_id group by 1, 2),
+e as (select p.a, p.b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * p.c >= 85 * (x.n + y.n - p.c)),
+r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.reach = e.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, d.doc_id = m.c as kept
+from documents d left join n on d.doc_id = n.doc_id join (select doc_id, min(reach) as c from r group by doc_id) m on d.doc_id = m.doc_id""",
     "op3_warc_fixity": """
 with r as (select page_id, coalesce(page_id // 1024, 0) as volume, coalesce(html, '') as html, coalesce(url, '') as url from pages),
 w as (select page_id, volume, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
