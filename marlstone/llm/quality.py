@@ -66,11 +66,11 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(documents: DataFrame) -> DataFrame:
-    """(doc_id, the base counts, and the ratios that RULES names), from whole texts."""
+    """The documents as a struct ``_row``, the base counts, and the ratios that RULES names, from whole texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    d = documents.select("doc_id", text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
+    d = documents.select(F.struct(*documents.columns).alias("_row"), text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     n, n_lines = F.size("_words").cast("long"), F.size("_lines")
     chars = F.length(F.translate("_text", BLANKS, "")).cast("long")
@@ -78,7 +78,7 @@ def measures(documents: DataFrame) -> DataFrame:
     dup = (n_lines - F.size(F.array_distinct("_lines"))).cast("long")
     stops = n - F.size(F.filter("_words", lambda w: ~F.lower(w).isin(*STOP_WORDS)))
     return d.select(
-        "doc_id", n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"),
+        "_row", n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"),
         _repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
         per(chars, n).alias("mean_word_chars"), per(symbols, n).alias("symbol_ratio"), per(stops, n).alias("stop_word_ratio"),
         per(dup, n_lines).alias("dup_line_ratio"),
@@ -94,9 +94,18 @@ def quality_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> Data
     for itself: a null doc_id stays null and repeated rows give repeated results. Extra columns are
     not read. One projection over the scan: no shuffle and no Python.
     """
-    d = measures(documents)
+    d = _judged(documents.select("doc_id", "text"), rules)
+    return d.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def _judged(documents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``measures`` with base_failed, failed_rules and kept."""
     failed = F.array_compact(F.array(*[
         F.when(((F.col(r.measure) < r.low) if r.low is not None else F.lit(False)) | ((F.col(r.measure) > r.high) if r.high is not None else F.lit(False)), F.lit(r.measure)) for r in rules]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
-                    (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed_rules"))
+    return measures(documents).withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def filter_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that pass, with their own columns; the same projection, then a filter."""
+    return _judged(documents, rules).where("kept").select("_row.*")

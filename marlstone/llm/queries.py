@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, language_model, near_duplicates, packing, quality, secrets, token_counts, url_filter, warc
+from . import common, decontaminate, language_model, near_duplicates, packing, quality, secrets, substring_dedup, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of all pages against a replica with known damage."""
     records = warc.render(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -51,7 +55,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op3_warc_fixity, op4_secret_scans, op5_best_fit_packing, op6_quality_rules, op7_url_filters,
+    op1_token_counts, op2_suffix_array_dedup, op3_warc_fixity, op4_secret_scans, op5_best_fit_packing, op6_quality_rules, op7_url_filters,
     op8_minhash_near_dedup, op9_benchmark_decontamination, op10_lm_scoring)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
