@@ -1 +1,5 @@
 """Query plans of the library's own operators; importing this package registers them."""
+
+from marlstone.plans import aggregates, ordered, ranking, sets
+
+__all__ = ["aggregates", "ordered", "ranking", "sets"]
