@@ -139,14 +139,15 @@ def run_sql(spark, sf_dir: str, text: str):
     return spark.sql(text)
 
 
-def sql_query(name: str) -> Callable:
-    """Register a plan written as a function of a dialect."""
+def sql_query(name: str, longs: str = "") -> Callable:
+    """Register a plan written as a function of a dialect; ``longs`` names columns to widen to long."""
 
     def add(f: Callable[[Dialect], str]):
         text = f(SPARK)
 
         def run(spark, sf_dir: str):
-            return run_sql(spark, sf_dir, text)
+            df = run_sql(spark, sf_dir, text)
+            return df.withColumns({c: df[c].cast("long") for c in longs.split()}) if longs else df
 
         run.__name__, run.__doc__ = name, f.__doc__
         query(name, f(DUCK))(run)

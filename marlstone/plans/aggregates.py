@@ -253,7 +253,7 @@ with e as (select user_id % 10 as round, value, cast({gap} as double) as g, {d.e
 select round, count(*) as n, round(median(value), 6) as median_value, round({q}, 6) as p99_gap_ms, round(count(*) * 1000000.0 / (max(us) - min(us)), 9) as per_s from e group by round""".replace("round(count(*) * 1000000.0 / (max(us) - min(us)), 9)", "round(cast(count(*) * 1000000 as double) / (max(us) - min(us)), 9)")
 
 
-@sql_query("class_ranking")
+@sql_query("class_ranking", longs="by_bytes by_models")
 def class_ranking(d):
     """Bytes and number of members per class, ranked both ways."""
     return """

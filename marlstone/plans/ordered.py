@@ -15,8 +15,8 @@ select l_orderkey, l_linenumber, l_partkey, delta, case when delta >= 0 then 2 *
 def first_seen_id(d):
     """Dictionary ids by first appearance."""
     return """
-with f as (select user_id, min(event_id) as at from events group by user_id)
-select user_id, at, row_number() over (order by at) - 1 as id from f"""
+with f as (select user_id, min(event_id) as first_at from events group by user_id)
+select user_id, first_at, row_number() over (order by first_at) - 1 as id from f"""
 
 
 @sql_query("cumulative_histogram")
@@ -41,7 +41,7 @@ def event_gaps(d):
     return f"select event_id, user_id, {d.epoch_us('ts')} - lag({d.epoch_us('ts')}) over (partition by user_id order by ts, event_id) as gap_us from events"
 
 
-@sql_query("last_n_per_user")
+@sql_query("last_n_per_user", longs="k")
 def last_n_per_user(d):
     """The newest 30 events of each user."""
     return "select user_id, event_id, k from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) t where k <= 30"
@@ -69,7 +69,7 @@ with r as (select source, doc_id, row_number() over (partition by source order b
 select source, doc_id, {d.idiv('k', '3')} as turn, {d.idiv('k', '3')} % 8 = 7 as held_out from r where k % 3 = 0"""
 
 
-@sql_query("round_robin_mix")
+@sql_query("round_robin_mix", longs="turn place")
 def round_robin_mix(d):
     """One row of each language in turn."""
     return """
@@ -90,8 +90,8 @@ def interleave_kinds(d):
     """Chunks of two kinds in turn; the second runs backwards and starts half a chunk later."""
     return f"""
 with t as (select user_id % 2 as kind, user_id, event_id, row_number() over (partition by user_id % 2 order by event_id) - 1 as k, count(*) over (partition by user_id % 2) as n from events),
-p as (select kind, event_id, case when kind = 0 then k else (n - 1 - k + 8) % n end as at from t)
-select event_id, kind, {d.idiv('at', '16')} * 2 + kind as slot, at % 16 as place from p"""
+p as (select kind, event_id, case when kind = 0 then k else (n - 1 - k + 8) % n end as place_at from t)
+select event_id, kind, {d.idiv('place_at', '16')} * 2 + kind as slot, place_at % 16 as place from p"""
 
 
 @sql_query("config_islands")

@@ -19,7 +19,7 @@ def argmax_first(d):
     return f"with {ranked(d)} select row_id, token_id, round(logit, 6) as logit from r where k = 1"
 
 
-@sql_query("topk_ties")
+@sql_query("topk_ties", longs="k")
 def topk_ties(d):
     """The eight largest; on ties the smaller id."""
     return f"with {ranked(d)} select row_id, token_id, k, round(logit, 6) as logit from r where k <= 8"
@@ -46,7 +46,7 @@ def softmax_temp(d):
     return f"with {probs(d, 0.7)} select row_id, token_id, round(p, 6) as p from p"
 
 
-@sql_query("inverse_cdf_draw")
+@sql_query("inverse_cdf_draw", longs="k")
 def inverse_cdf_draw(d):
     """The entry at which the running sum reaches a seeded uniform number."""
     return f"""
@@ -62,7 +62,7 @@ with c as (select row_id, token_id, case when (row_id + token_id) % 5 = 0 then 1
 select row_id, token_id, round(case when n = 0 then s when s > 0 then s / 1.2 - 0.3 - 0.1 * n else s * 1.2 - 0.3 - 0.1 * n end, 6) as score from c"""
 
 
-@sql_query("logprobs_topk")
+@sql_query("logprobs_topk", longs="k")
 def logprobs_topk(d):
     """Log-softmax of the raw row, the five largest."""
     return f"""
@@ -80,7 +80,7 @@ select row_id, max(draft) as draft, round(max(case when token_id = draft then p
   case when max(case when token_id = draft then p end) >= max(u) then max(draft) else max(case when k = 1 then token_id end) end as token_id from t group by row_id"""
 
 
-@sql_query("router_topk")
+@sql_query("router_topk", longs="k")
 def router_topk(d):
     """Sigmoid scores, a bias that only picks, the picked weights renormalised and scaled."""
     return f"""
@@ -95,13 +95,13 @@ def mask_allowed(d):
     return f"select row_id, l.token_id, case when a.token_id is null then null else round(logit, 6) end as logit from {d.logits} l left join (select n * 3 as token_id from {d.quote(22, 't', 'n')}) a on l.token_id = a.token_id"
 
 
-@sql_query("ranked_candidates")
+@sql_query("ranked_candidates", longs="k")
 def ranked_candidates(d):
     """Score rising, then the key; the best k of each group."""
     return "select n_name, s_suppkey, k, round(s_acctbal, 2) as score from (select n_name, s_suppkey, s_acctbal, row_number() over (partition by n_name order by s_acctbal, s_suppkey) as k from supplier s join nation n on s.s_nationkey = n.n_nationkey) t where k <= 3"
 
 
-@sql_query("winner_runner_up")
+@sql_query("winner_runner_up", longs="place")
 def winner_runner_up(d):
     """Best row of each digest, then the first two of each group."""
     return """
@@ -132,7 +132,7 @@ def hash_sample(d):
     return f"select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by {d.sha(key)}, doc_id) as k from documents) t where k <= 20"
 
 
-@sql_query("topk_per_group_vs_global")
+@sql_query("topk_per_group_vs_global", longs="k overall")
 def topk_per_group_vs_global(d):
     """The most used per group beside the most used overall."""
     return """

@@ -152,7 +152,7 @@ def id_set_diff(d):
 def common_configs(d):
     """Settings measured for every member of a class."""
     return """
-with m as (select distinct p_type as class, p_size as config, p_brand from part), n as (select class, count(distinct p_brand) as members from m group by class)
+with m as (select distinct p_type as class, p_size % 10 as config, p_brand from part), n as (select class, count(distinct p_brand) as members from m group by class)
 select m.class, config, count(*) as members from m join n on m.class = n.class group by m.class, config, n.members having count(*) >= n.members * 0.6"""
 
 

@@ -18,3 +18,12 @@ def session(master: str = "local[8]", app: str = "marlstone", partitions: int =
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); a local one only where none is named, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        path = "/tmp/marlstone-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
