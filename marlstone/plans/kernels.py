@@ -85,7 +85,7 @@ def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \t\n\r]+"), F.lit(0))
     d = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("w"))
     pages = d.select("doc_id", "source", F.expr("transform(case when size(w) >= 16 then sequence(1, size(w) div 16) else array() end, n -> array_join(slice(w, n * 16 - 15, 16), ' '))").alias("p"))
-    chain = F.expr("aggregate(p, cast(array() as array<string>), (a, x) -> array_append(a, sha2(concat(coalesce(element_at(a, -1), ''), x), 256)))")
+    chain = F.expr("aggregate(p, cast(array() as array<string>), (a, x) -> array_append(a, sha2(concat(coalesce(try_element_at(a, -1), ''), x), 256)))")
     keys = pages.select("doc_id", "source", F.posexplode(chain).alias("n", "key"))
     first = keys.groupBy("source", "key").agg(F.min("doc_id").alias("first_id"))
     found = keys.join(first, ["source", "key"]).where("first_id < doc_id").groupBy("doc_id").agg((F.max("n") + 1).cast("long").alias("pages"))

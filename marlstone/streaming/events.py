@@ -38,7 +38,7 @@ def first_uses(events: DataFrame, key: list[str], late: str = "40 days") -> Data
 
 
 def newest(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """The newest event of each user as state that expires; an event older than what is held is ignored."""
+    """The newest event of each user as state that expires by event time; an event older than what is held is ignored."""
     schema = "user_id long, event_id long, us long"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,10 +51,11 @@ def newest(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
             top = max(zip(us.tolist(), f["event_id"].tolist(), strict=True))
             best = top if best is None else max(tuple(best), top)
         state.update((int(best[0]), int(best[1])))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(int(best[0]) // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "event_id": [int(best[1])], "us": [int(best[0])]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, schema, "us long, event_id long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", "1 day")
+    return timed.groupBy("user_id").applyInPandasWithState(step, schema, "us long, event_id long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str, name: str, keep: int | None = None) -> DataFrame:
