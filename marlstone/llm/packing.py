@@ -197,11 +197,21 @@ def fit_repeats(patterns: np.ndarray, have: np.ndarray, rounds: int = 400) -> np
 def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, end rank, first sequence, offset) that place every piece once.
 
-    Its size depends on the number of distinct lengths, at most ``limit``, not on the documents.
+    Its size depends on the number of distinct lengths, at most ``limit``, not on the documents. Two
+    fits are made, with patterns of up to three and of up to two documents (triples can use up the short
+    documents that long ones need); the one that needs fewer sequences is kept.
     """
     have = np.zeros(limit + 1, np.int64)
     for length, n in histogram.items():
         have[length] = n
+    patterns = enumerate_patterns(have, limit)
+    three, n3 = _plan(have, patterns, limit)
+    two, n2 = _plan(have, patterns[patterns[:, 2] == 0], limit)
+    return two if n2 < n3 else three
+
+
+def _plan(have: np.ndarray, patterns: np.ndarray, limit: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan from some patterns, and its number of sequences."""
     left, made, sequences = have.copy(), [], 0
     used = np.zeros(limit + 1, np.int64)
 
@@ -215,7 +225,6 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int
             offset += one
         sequences += repeats
 
-    patterns = enumerate_patterns(have, limit)
     repeats = np.floor(fit_repeats(patterns, have) + 1e-9).astype(np.int64)
     for k in np.argsort(-repeats, kind="stable").tolist():
         lengths = [x for x in patterns[k].tolist() if x]
@@ -234,7 +243,7 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int
             taken[best] -= 1
             room -= best
         put(lengths, min(int(left[x]) // lengths.count(x) for x in set(lengths)))
-    return made
+    return made, sequences
 
 
 def pack(documents: DataFrame, model: str = "word_bpe_49k.json", limit: int = 4096, end_id: int = 1) -> DataFrame:
