@@ -178,7 +178,7 @@ select p_partkey, round((f + case when r > 0.5 or (r = 0.5 and f % 2 = 1) then 1
 def spans_to_json(d):
     """Spans as JSON documents."""
     s = (lambda x: f"cast({x} as string)") if d.spark else (lambda x: f"cast({x} as varchar)")
-    return f"""select event_id, concat('{{"traceId":"', {d.hash(s('user_id')) if False else s('user_id')}, '","name":"', event_type, '","startTimeUnixNano":"', {s(d.epoch_us('ts') + ' * 1000')}, '"}}') as span from events"""
+    return f"""select event_id, concat('{{"traceId":"', {s('user_id')}, '","name":"', event_type, '","startTimeUnixNano":"', {s(d.epoch_us('ts') + ' * 1000')}, '"}}') as span from events"""
 
 
 @sql_query("py_json")
