@@ -68,7 +68,8 @@ def trigram_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     exchange, and the sums are combinable.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = documents.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # Labels grow with the corpus, so the join is by shuffle at every size.
+    marked = documents.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     return marked.mapInArrow(_tally, "code long, target long, background long").groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
