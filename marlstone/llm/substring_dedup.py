@@ -25,9 +25,9 @@ from .run_index import RunIndex
 
 LENGTH, GRAM = 50, 16
 #: Windows in a segment (longer runs, of repetitive text, are cut), and bytes of text in a batch.
-WINDOWS, BATCH_BYTES = 64, 6 << 20
+WINDOWS, BATCH_BYTES = 64, 2 << 20
 #: Bytes of segments that one index holds; further anchors of a bucket go to a further index.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 2 << 20
 NONE = np.iinfo(np.int64).max
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -95,11 +95,14 @@ class Batch:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order, whether several documents have each, and each segment's index among them."""
-        distinct, at = np.unique(self.anchor, return_inverse=True)
-        low, high = np.full(len(distinct), len(self.ids)), np.full(len(distinct), -1)
-        np.minimum.at(low, at, self.owner)
-        np.maximum.at(high, at, self.owner)
-        return distinct, low != high, at
+        order = np.argsort(self.anchor, kind="stable")  # keeps the owners of an anchor in order
+        ordered = self.anchor[order]
+        new = np.append(True, ordered[1:] != ordered[:-1]) if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(order)) - 1 if len(order) else first
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        return ordered[first], self.owner[order[first]] != self.owner[order[last]], at
 
     def shared(self, buckets: int, masks: dict[int, np.ndarray]) -> tuple[list[bytes], list[int], list[int], np.ndarray, np.ndarray]:
         """Distinct segments with shared anchors: bytes, anchors, first documents; places of all such segments and which each is."""
@@ -122,6 +125,12 @@ class Batch:
         return list(known), anchors, first, use, np.array(which, np.int64)
 
 
+def mark(change: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+    """Count ranges into the differences whose running sum is the number of ranges over a place."""
+    if len(begins):
+        change += np.bincount(begins, minlength=len(change)) - np.bincount(ends, minlength=len(change))
+
+
 def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
     """Anchors are dealt by ranges of their hash, so that order by anchor is order by bucket."""
     return ((anchors >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -275,10 +284,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
         ids = np.array(kept.ids, np.int64)
         first = np.array(first, np.int64)
         later = first[which] < ids[kept.owner[use]] if len(use) else np.zeros(0, bool)  # a copy inside the batch
-        np.add.at(change, start[later], 1)
-        np.add.at(change, start[later] + windows[later] + length - 1, -1)
+        mark(change, start[later], start[later] + windows[later] + length - 1)
         by = np.argsort(which, kind="stable")
         edge = np.searchsorted(which[by], np.arange(len(segments) + 1))
+        begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in found.filter(pc.equal(found["kind"], 1))["blob"].to_pylist():
             n = int(np.frombuffer(x, np.uint64, 1)[0])
             ref = np.frombuffer(x, np.uint32, n, 8 + 8 * n).astype(np.int64)
@@ -287,8 +296,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
             many = edge[ref + 1] - edge[ref]
             row = np.repeat(np.arange(n), many)
             place = by[np.repeat(edge[ref], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
-            np.add.at(change, start[place] + offset[row], 1)
-            np.add.at(change, start[place] + offset[row] + count[row] + length - 1, -1)
+            begins.append(start[place] + offset[row])
+            ends.append(begins[-1] + count[row] + length - 1)
+        mark(change, np.concatenate(begins), np.concatenate(ends))
         gone = np.cumsum(change[:-1]) > 0
         out = []
         for d, raw, a, b in zip(kept.ids, kept.raw, kept.begins.tolist(), kept.ends.tolist(), strict=True):
