@@ -5,8 +5,8 @@
 2. Retained values are joined through inverted lists. Ordered from the rarest on, two sketches that
    share enough values must share one of their first ones, so only those are listed.
 3. Lists of up to LIST nodes give candidate pairs. A longer list gives no pairs: its members are held
-   against one pivot, and listed anew by how they differ from it (see ``_refine``), which is an exact
-   way to all their links.
+   against one pivot. Links among those near the pivot follow from their differences to it alone
+   (``_near_links``); those far from it are listed anew by sketches of their differences.
 4. Candidates are filtered by the Jaccard estimate from the sketch of their union, and confirmed on
    full sets. Connected components follow.
 """
@@ -26,8 +26,16 @@ from . import common
 WORDS, K, LIST = 5, 48, 32
 #: Of 48 values of the union's sketch, a pair with Jaccard 0.85 shares fewer than 27 once in about 10^7.
 SHARE = 0.5625
+#: Of 48 values of the union of what two far members add to a pivot, linked ones share 7 or more likewise.
+FAR_SHARE = 0.15
+#: A member is far from a pivot if it differs in more than FAR of their union and more than FAR_NEW of its own
+#: set is new; near, if it differs in up to NEAR or up to NEAR_NEW is new. For linked members both shares differ
+#: by less than these bounds do, so both are near or both are far.
+NEAR, FAR, NEAR_NEW, FAR_NEW = 0.45, 0.30, 0.43, 0.25
 #: Rounds of pivots; lists that are still long after them give all their pairs.
 ROUNDS = 3
+#: Members in the two sides of a block of ``_near_links``.
+LEFT, RIGHT = 512, 4096
 REMEMBER = 400_000
 
 _known: dict[bytes, int] = {}
@@ -81,24 +89,24 @@ def _prints(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def _first_values(nodes: DataFrame) -> DataFrame:
+def _first_values(nodes: DataFrame, share: float) -> DataFrame:
     """(key, sid, n, members): the rarest retained values of each node that others retain too."""
     values = nodes.select("sid", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
     often = values.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = values.join(often, "key")
-    # m - floor(SHARE m) + 1 of all values are listed; those that no other node has come first and need no list.
+    # m - floor(share m) + 1 of all values are listed; those that no other node has come first and need no list.
     each = shared.groupBy("sid", "n", "m").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("found"))
-    room = F.col("m") - F.greatest(F.floor(SHARE * F.col("m")), F.lit(1)) + 1 - (F.col("m") - F.size("found"))
+    room = F.col("m") - F.greatest(F.floor(share * F.col("m")), F.lit(1)) + 1 - (F.col("m") - F.size("found"))
     each = each.withColumn("room", room.cast("int")).where("room > 0")
     return each.select("sid", "n", F.explode(F.slice("found", 1, F.col("room"))).alias("v")).select(F.col("v.key").alias("key"), "sid", "n", F.col("v.members").alias("members"))
 
 
 def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one list, an open and a listed member, whose set sizes allow a link."""
-    left = entries.where("open").select("key", F.col("sid").alias("x"), F.col("n").alias("nx"))
-    right = entries.where("listed").select("key", F.col("sid").alias("y"), F.col("n").alias("ny"))
-    near = (F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    return left.join(right, "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Pairs (a, b), a < b, of one list, whose set sizes allow a link."""
+    left = entries.select("key", F.col("sid").alias("a"), F.col("n").alias("na"))
+    right = entries.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return left.join(right, "key").where(near).select("a", "b").distinct()
 
 
 def _with_texts(pairs: DataFrame, documents: DataFrame, work: common.Workspace) -> DataFrame:
@@ -145,41 +153,86 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, percent: int) -> DataFrame:
-    """How the members x of long lists differ from their pivots p: (p, sid, n, linked, open, keys, first).
-
-    Let D(x) be the symmetric difference of x's and p's sets. If x is not linked with p, then
-    |D(x)| > r |x u p| with r = 1 - threshold, and for any y linked with x
-    |D(x) n D(y)| >= (|D(x)| + |D(y)| - r |x u y|) / 2 > (1 - r) |D(y)| / 2,
-    as |x u y| <= |x u p| + |D(y)|. So y shares elements of D with every such x: more than
-    (1 - r)/2 of its own. x is listed under all of D(x), y under its first
-    |D(y)| - floor((1 - r)/2 |D(y)|), and no link between an x that is open (not linked with p) and
-    any y is lost. Members that are linked with p are in one component already. Elements outside p come
-    first, as few members share them.
-    """
-    half = percent / 200
+    """How members x of long lists differ from their pivots p: (p, sid, n, linked, near, delta, sketch).
 
+    delta, of near members, is the symmetric difference of the sets of x and p. sketch, of far ones, is
+    the bottom-k sketch of N(x) = x - p, salted with p. For linked x and y, N(x) and N(y) differ in at
+    most 0.15 |x u y|; with more than FAR_NEW of each set new, their Jaccard index is above 0.47, so
+    sketches of N find the pair, and what many members share with p no longer lists them.
+    """
     def run(batches):
         for batch in batches:
             for part in common.steps([batch], "ta"):
                 rows, last, pivot = [], None, None
                 for p, x, tp, tx in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    if p != last:
-                        last, pivot = p, shingles(tp or "")
+                    if (p, tp) != last:
+                        last, pivot = (p, tp), shingles(tp or "")
                     own = shingles(tx or "")
-                    new, gone = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
-                    ok = linked(len(own) - len(new), len(own), len(pivot), percent)
-                    differ = np.concatenate([new, gone])
-                    first = len(differ) - int(half * len(differ))
-                    listed = differ if not ok else differ[:first]
-                    listed = (((listed.astype(np.uint64) ^ (np.uint64(p & 0xFFFFFFFFFFFFFFFF) * _C1)) * _C2) >> np.uint64(1)).astype(np.int64)
-                    rows.append((p, x, len(own), ok, first, listed))
+                    differ = np.setxor1d(own, pivot, assume_unique=True)
+                    union = (len(own) + len(pivot) + len(differ)) // 2
+                    ok = linked(union - len(differ), len(own), len(pivot), percent)
+                    new = np.setdiff1d(own, pivot, assume_unique=True)
+                    near = len(differ) <= NEAR * union or len(new) <= NEAR_NEW * len(own)
+                    far = len(differ) > FAR * union and len(new) > FAR_NEW * len(own)
+                    salted = np.zeros(0, np.int64)
+                    if far:
+                        salted = np.sort((((new.astype(np.uint64) ^ (np.uint64(p * int(_C1) & 0xFFFFFFFFFFFFFFFF))) * _C2) >> np.uint64(1)).astype(np.int64))[:K]
+                    rows.append((p, x, len(own), ok, near, differ if near else differ[:0], salted))
                 columns = list(zip(*rows, strict=True))
-                offsets = np.cumsum([0, *map(len, columns[5])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.int32()),
-                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns[5])))], ["p", "sid", "n", "linked", "first", "keys"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32)), pa.array(np.concatenate(c))) for c in columns[5:]]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.bool_()), *lists],
+                                                 ["p", "sid", "n", "linked", "near", "delta", "sketch"])
 
     texts = _with_texts(star, documents, work).selectExpr("a as p", "b as sid", "ta as tp", "tb as ta")
-    return texts.mapInArrow(run, "p long, sid long, n long, linked boolean, first int, keys array<long>")
+    return texts.mapInArrow(run, "p long, sid long, n long, linked boolean, near boolean, delta array<long>, sketch array<long>")
+
+
+def _near_links(refined: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of near members that are not linked with the pivot themselves, with any near member.
+
+    |x n y| follows from the differences to the pivot: x's set is p's set with D(x) flipped, so
+    |x ^ y| = |D(x) ^ D(y)|. Members are dealt into blocks of bounded size; a block counts shared
+    differences and returns a spanning forest of its links, at most one row per member.
+    """
+    near = refined.where("near")
+    left = near.where("not linked")
+    sizes = near.groupBy("p").agg(F.sum((~F.col("linked")).cast("long")).alias("nl"), F.count("*").alias("nr")).where("nl > 0 and nr > 1")
+    sizes = sizes.select("p", F.ceil(F.col("nl") / LEFT).alias("bl"), F.ceil(F.col("nr") / RIGHT).alias("br"))
+    fields = [F.col(c).alias(c) for c in ("p", "sid", "n", "delta")]  # new columns: both sides stem from one table
+    place = lambda d, own, other, mine, its: d.join(sizes, "p").select(*fields, F.pmod(F.xxhash64("sid"), F.col(own)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(its))
+    one, two = place(left, "bl", "br", "i", "j"), place(near, "br", "bl", "j", "i")
+
+    def run(key, x, y):
+        edges: list[tuple[int, int]] = []
+        if x.num_rows and y.num_rows:
+            ids = [np.array(t["sid"].to_pylist(), np.int64) for t in (x, y)]
+            n = [np.array(t["n"].to_pylist(), np.int64) for t in (x, y)]
+            sets = [[np.array(v, np.int64) for v in t["delta"].to_pylist()] for t in (x, y)]
+            size = [np.fromiter(map(len, v), np.int64, len(v)) for v in sets]
+            flat = np.concatenate(sets[1])
+            by = np.argsort(flat, kind="stable")
+            flat, owner = flat[by], np.repeat(np.arange(len(size[1])), size[1])[by]
+            head: dict[int, int] = {}
+
+            def root(k):
+                while head.setdefault(k, k) != k:
+                    head[k] = k = head[head[k]]
+                return k
+
+            for k in range(len(sets[0])):
+                low, high = np.searchsorted(flat, sets[0][k], "left"), np.searchsorted(flat, sets[0][k], "right")
+                many = high - low
+                at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                shared = np.bincount(owner[at], minlength=len(size[1]))
+                both = (n[0][k] + n[1] - (size[0][k] + size[1] - 2 * shared)) // 2
+                for j in np.flatnonzero((100 * both >= percent * (n[0][k] + n[1] - both)) & (ids[1] != ids[0][k])).tolist():
+                    a, b = int(ids[0][k]), int(ids[1][j])
+                    if root(a) != root(b):
+                        head[root(a)] = root(b)
+                        edges.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+    return one.groupBy("p", "i", "j").cogroup(two.groupBy("p", "i", "j")).applyInArrow(run, "a long, b long")
 
 
 def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -188,20 +241,20 @@ def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tu
     prints = work.save(_prints(documents), "prints")
     nodes = prints.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
     nodes = work.save(nodes.select("k1", "k2", F.col("x.doc_id").alias("sid"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")), "nodes")
-    entries = work.save(_first_values(nodes).withColumns({"open": F.lit(True), "listed": F.lit(True)}), "lists-0")
+    entries = work.save(_first_values(nodes, SHARE), "lists-0")
     candidates, edges = [], []
     for turn in range(1, ROUNDS + 1):
         candidates.append(_list_pairs(entries.where(f"members <= {LIST}"), percent))
         long = entries.where(f"members > {LIST}")
-        pivots = long.where("open").groupBy("key").agg(F.min("sid").alias("a"))
+        pivots = long.groupBy("key").agg(F.min("sid").alias("a"))
         star = work.save(long.join(pivots, "key").where("sid != a").select("a", F.col("sid").alias("b")).distinct(), f"star-{turn}")
         if star.isEmpty():
             break
         refined = work.save(_refine(star, documents, work, percent), f"refined-{turn}")
         edges.append(refined.where("linked").select(F.col("p").alias("a"), F.col("sid").alias("b")))
-        listed = refined.select("sid", "n", (~F.col("linked")).alias("open"), "first", F.posexplode("keys").alias("at", "key")).select("key", "sid", "n", "open", (F.col("at") < F.col("first")).alias("listed"))
-        sizes = listed.groupBy("key").agg(F.count("*").alias("members"), F.max("open").alias("o"), F.max("listed").alias("l")).where("members > 1 and o and l").select("key", "members")
-        entries = work.save(listed.join(sizes, "key").select("key", "sid", "n", "members", "open", "listed"), f"lists-{turn}")
+        edges.append(work.save(_near_links(refined, percent), f"near-{turn}"))
+        far = refined.where("size(sketch) > 0").select(F.struct("p", "sid").alias("sid"), "n", "sketch")
+        entries = work.save(_first_values(far, FAR_SHARE).withColumn("sid", F.col("sid.sid")), f"lists-{turn}")
     else:
         candidates.append(_list_pairs(entries, percent))
     every = candidates[0]
