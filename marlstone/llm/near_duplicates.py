@@ -112,8 +112,9 @@ def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
 def _with_texts(pairs: DataFrame, documents: DataFrame, work: common.Workspace) -> DataFrame:
     """``pairs`` (a, b) with both texts; only texts of nodes that occur are exchanged."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = documents.select("doc_id", "text").join(used, "doc_id", "left_semi")
-    one = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    # Pairs grow with the corpus, so texts are joined by shuffle at every size.
+    some = documents.select("doc_id", "text").join(used.hint("merge"), "doc_id", "left_semi")
+    one = pairs.hint("merge").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return one.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
 
@@ -246,7 +247,11 @@ def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tu
     for turn in range(1, ROUNDS + 1):
         candidates.append(_list_pairs(entries.where(f"members <= {LIST}"), percent))
         long = entries.where(f"members > {LIST}")
+        # Any pivot will do for a list. Lists that share members take the least of their pivots, so that a
+        # family of near copies is held against one pivot, not against one for each list.
         pivots = long.groupBy("key").agg(F.min("sid").alias("a"))
+        chosen = long.join(pivots, "key").groupBy("sid").agg(F.min("a").alias("a"))
+        pivots = work.save(long.join(chosen, "sid").groupBy("key").agg(F.min("a").alias("a")), f"pivots-{turn}")
         star = work.save(long.join(pivots, "key").where("sid != a").select("a", F.col("sid").alias("b")).distinct(), f"star-{turn}")
         if star.isEmpty():
             break
