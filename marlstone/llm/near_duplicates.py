@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,9 @@ FAR_SHARE = 0.15
 NEAR, FAR, NEAR_NEW, FAR_NEW = 0.45, 0.30, 0.43, 0.25
 #: Rounds of pivots; lists that are still long after them give all their pairs.
 ROUNDS = 3
-#: Members in the two sides of a block of ``_near_links``.
-LEFT, RIGHT = 512, 4096
-REMEMBER = 400_000
+#: Members in the two sides of a block of ``_near_links``, and values of their differences, in the mean.
+LEFT, RIGHT, VALUES = 512, 4096, 1 << 20
+REMEMBER = 100_000
 
 _known: dict[bytes, int] = {}
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -195,10 +196,12 @@ def _near_links(refined: DataFrame, percent: int) -> DataFrame:
     |x ^ y| = |D(x) ^ D(y)|. Members are dealt into blocks of bounded size; a block counts shared
     differences and returns a spanning forest of its links, at most one row per member.
     """
-    near = refined.where("near")
+    near = refined.where("near").withColumn("d", F.size("delta").cast("long"))
     left = near.where("not linked")
-    sizes = near.groupBy("p").agg(F.sum((~F.col("linked")).cast("long")).alias("nl"), F.count("*").alias("nr")).where("nl > 0 and nr > 1")
-    sizes = sizes.select("p", F.ceil(F.col("nl") / LEFT).alias("bl"), F.ceil(F.col("nr") / RIGHT).alias("br"))
+    own = lambda e: F.sum(F.when(~F.col("linked"), e).otherwise(0))
+    sizes = near.groupBy("p").agg(own(F.lit(1).cast("long")).alias("nl"), own(F.col("d")).alias("dl"), F.count("*").alias("nr"), F.sum("d").alias("dr")).where("nl > 0 and nr > 1")
+    blocks = lambda n, d, most: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(d) / VALUES))
+    sizes = sizes.select("p", blocks("nl", "dl", LEFT).alias("bl"), blocks("nr", "dr", RIGHT).alias("br"))
     fields = [F.col(c).alias(c) for c in ("p", "sid", "n", "delta")]  # new columns: both sides stem from one table
     place = lambda d, own, other, mine, its: d.join(sizes, "p").select(*fields, F.pmod(F.xxhash64("sid"), F.col(own)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(its))
     one, two = place(left, "bl", "br", "i", "j"), place(near, "br", "bl", "j", "i")
@@ -206,11 +209,10 @@ def _near_links(refined: DataFrame, percent: int) -> DataFrame:
     def run(key, x, y):
         edges: list[tuple[int, int]] = []
         if x.num_rows and y.num_rows:
-            ids = [np.array(t["sid"].to_pylist(), np.int64) for t in (x, y)]
-            n = [np.array(t["n"].to_pylist(), np.int64) for t in (x, y)]
-            sets = [[np.array(v, np.int64) for v in t["delta"].to_pylist()] for t in (x, y)]
-            size = [np.fromiter(map(len, v), np.int64, len(v)) for v in sets]
-            flat = np.concatenate(sets[1])
+            ids, n = ([t[c].to_numpy() for t in (x, y)] for c in ("sid", "n"))
+            size = [pc.list_value_length(t["delta"]).to_numpy().astype(np.int64) for t in (x, y)]
+            mine, flat = (pc.list_flatten(t["delta"]).to_numpy() for t in (x, y))
+            ends = np.cumsum(size[0])
             by = np.argsort(flat, kind="stable")
             flat, owner = flat[by], np.repeat(np.arange(len(size[1])), size[1])[by]
             head: dict[int, int] = {}
@@ -220,8 +222,8 @@ def _near_links(refined: DataFrame, percent: int) -> DataFrame:
                     head[k] = k = head[head[k]]
                 return k
 
-            for k in range(len(sets[0])):
-                low, high = np.searchsorted(flat, sets[0][k], "left"), np.searchsorted(flat, sets[0][k], "right")
+            for k, (end, m) in enumerate(zip(ends.tolist(), size[0].tolist(), strict=True)):
+                low, high = np.searchsorted(flat, mine[end - m:end], "left"), np.searchsorted(flat, mine[end - m:end], "right")
                 many = high - low
                 at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 shared = np.bincount(owner[at], minlength=len(size[1]))
