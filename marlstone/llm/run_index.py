@@ -27,6 +27,7 @@ class RunIndex:
         by = np.lexsort((start, char))
         self.run_char, self.run_start, self.run_length = char[by], start[by], length[by]
         self.run_key = self.run_char * (n + 1) + self.run_start
+        self.next_key = np.append(self.run_key, np.iinfo(np.int64).max)
         total = np.cumsum(self.run_length) - self.run_length
         self.first_row = np.zeros(257, np.int64)  # rows that start with a smaller character
         self.first_row[1:] = np.cumsum(np.bincount(flat, minlength=256))
@@ -70,11 +71,20 @@ class RunIndex:
         head, tail = whole
         return order, (head[order[1:]] == head[order[:-1]]) & (tail[order[1:]] == tail[order[:-1]])
 
-    def _rank(self, char: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Rows before ``row`` whose preceding character is ``char``."""
-        at = np.searchsorted(self.run_key, char * (self.n + 1) + row, "left") - 1
-        hit = (at >= 0) & (self.run_char[at] == char)
-        return np.where(hit, self.run_before[at] + np.minimum(row - self.run_start[at], self.run_length[at]), 0)
+    def _ranks(self, char: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows before ``low`` and before ``high`` (not less) whose preceding character is ``char``."""
+        base = char * (self.n + 1)
+        key = base + high
+        at = np.searchsorted(self.run_key, base + low, "left") - 1
+        last = at.copy()
+        more = np.flatnonzero(self.next_key[at + 1] < key)  # else no run of the character starts in between
+        last[more] = np.searchsorted(self.run_key, key[more], "left") - 1
+
+        def count(at, row):
+            hit = (at >= 0) & (self.run_char[at] == char)
+            return np.where(hit, self.run_before[at] + np.minimum(row - self.run_start[at], self.run_length[at]), 0)
+
+        return count(at, low), count(last, high)
 
     def earliest_documents(self, texts: list[bytes]) -> list[np.ndarray]:
         """For every ``depth``-byte window of each text: the earliest document that has it, or the largest integer.
@@ -93,8 +103,7 @@ class RunIndex:
         for step in range(int(lengths.max(initial=0))):
             live = live[:np.searchsorted(-lengths[live], -step, "left")]  # those with more than ``step`` characters
             char = flat[ends[live] - 1 - step]
-            a = self.first_row[char] + self._rank(char, low[live])
-            b = self.first_row[char] + self._rank(char, high[live])
+            a, b = (self.first_row[char] + r for r in self._ranks(char, low[live], high[live]))
             lost = a >= b  # no such match: start anew after this character
             a, b = np.where(lost, 0, a), np.where(lost, self.n, b)
             size = np.where(lost, 0, held[live] + 1)

@@ -27,7 +27,7 @@ LENGTH, GRAM = 50, 16
 #: Windows in a segment (longer runs, of repetitive text, are cut), and bytes of text in a batch.
 WINDOWS, BATCH_BYTES = 64, 2 << 20
 #: Bytes of segments that one index holds; further anchors of a bucket go to a further index.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 512 << 10
 NONE = np.iinfo(np.int64).max
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
