@@ -107,5 +107,10 @@ def _judged(documents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def filter_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns; the same projection, then a filter."""
-    return _judged(documents, rules).where("kept").select("_row.*")
+    """The documents that pass, with their own columns; the same projection, then a filter.
+
+    The verdict passes through ``explode``, which a filter is not pushed below: pushed into the
+    projection, it would work out each measure, and the split into words, at every mention.
+    """
+    judged = _judged(documents, rules).select("_row", F.explode(F.array("kept")).alias("_passes"))
+    return judged.where("_passes").select("_row.*")
