@@ -17,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group of near duplicates."""
-    return near_duplicates.deduplicate(docs)
+    """One document, the one of least id, of each group of near duplicates of similarity 0.80 or more."""
+    return near_duplicates.deduplicate(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

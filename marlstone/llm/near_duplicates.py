@@ -14,6 +14,8 @@
 from __future__ import annotations
 
 import hashlib
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,10 @@ from . import common
 
 #: Words in a shingle, values in a sketch, and the longest list whose pairs are formed.
 WORDS, K, LIST = 5, 48, 32
-#: Of 48 values of the union's sketch, a pair with Jaccard 0.85 shares fewer than 27 once in about 10^7.
-SHARE = 0.5625
-#: Of 48 values of the union of what two far members add to a pivot, linked ones share 7 or more likewise.
+#: Of 48 values of the union of what two far members add to a pivot, linked ones share 7 or more but for about one in 10^7.
 FAR_SHARE = 0.15
-#: A member is far from a pivot if it differs in more than FAR of their union and more than FAR_NEW of its own
-#: set is new; near, if it differs in up to NEAR or up to NEAR_NEW is new. For linked members both shares differ
-#: by less than these bounds do, so both are near or both are far.
-NEAR, FAR, NEAR_NEW, FAR_NEW = 0.45, 0.30, 0.43, 0.25
+#: The least of ``percent`` for which FAR_SHARE holds.
+LEAST = 70
 #: Rounds of pivots; lists that are still long after them give all their pairs.
 ROUNDS = 3
 #: Members in the two sides of a block of ``_near_links``, and values of their differences, in the mean.
@@ -76,6 +74,35 @@ def linked(common_n: int, a: int, b: int, percent: int) -> bool:
     return a > 0 and b > 0 and 100 * common_n >= percent * (a + b - common_n)
 
 
+class Bounds(NamedTuple):
+    """What a link of ``percent`` hundredths says of sketches and of differences to a pivot.
+
+    share: of 48 values of the union's sketch, a linked pair shares fewer than this part about once in 10^7.
+    A member is far from a pivot if it differs in more than ``far`` of their union and more than ``far_new``
+    of its own set is new; near, if it differs in up to ``near`` or up to ``near_new`` is new. With d the
+    distance of a link, x that differs in more than ``near``, ``near_new`` of it new, has no linked y that
+    differs in ``far`` = near - d or less, or of which (near_new - d) / (1 - d) > far_new or less is new:
+    so both are near or both are far.
+    """
+
+    share: float
+    near: float
+    far: float
+    near_new: float
+    far_new: float
+
+
+def bounds(percent: int) -> Bounds:
+    """The bounds for links of ``percent`` hundredths; at 85 a share of 27 of 48, 0.45, 0.30, 0.43 and 0.25."""
+    if not LEAST <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST} to 100: {percent}")
+    p, least, missed = percent / 100, 0, 0.0
+    while least < K and (missed := missed + comb(K, least) * p**least * (1 - p) ** (K - least)) < 4e-7:
+        least += 1
+    far_new = (100 - percent) / 60
+    return Bounds(least / K, (130 - percent) / 100, 0.30, far_new + 0.18, far_new)
+
+
 def _prints(documents: DataFrame) -> DataFrame:
     """(doc_id, n, k1, k2, sketch): set size, a 128-bit key of the set, its K least values."""
     def run(batches):
@@ -150,8 +177,9 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     union = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)).withColumn("c", F.array_intersect("sa", "sb"))
     hits, m = F.size(F.array_intersect("c", "u")), F.size("u")
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
+    share = bounds(percent).share
     exact = 100 * F.size("c") >= percent * (F.col("na") + F.col("nb") - F.size("c"))
-    return union.where(F.when(whole, exact).otherwise(hits >= F.floor(SHARE * m))).select("a", "b")
+    return union.where(F.when(whole, exact).otherwise(hits >= F.floor(share * m))).select("a", "b")
 
 
 def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, percent: int) -> DataFrame:
@@ -159,9 +187,12 @@ def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, perce
 
     delta, of near members, is the symmetric difference of the sets of x and p. sketch, of far ones, is
     the bottom-k sketch of N(x) = x - p, salted with p. For linked x and y, N(x) and N(y) differ in at
-    most 0.15 |x u y|; with more than FAR_NEW of each set new, their Jaccard index is above 0.47, so
-    sketches of N find the pair, and what many members share with p no longer lists them.
+    most d |x u y|, d = 1 - percent / 100; with more than far_new = d / 0.6 of each set new, their Jaccard
+    index is above (1.4 - d) / (2.6 - d), 0.47 or more, so sketches of N find the pair, and what many
+    members share with p no longer lists them.
     """
+    limit = bounds(percent)
+
     def run(batches):
         for batch in batches:
             for part in common.steps([batch], "ta"):
@@ -174,8 +205,8 @@ def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, perce
                     union = (len(own) + len(pivot) + len(differ)) // 2
                     ok = linked(union - len(differ), len(own), len(pivot), percent)
                     new = np.setdiff1d(own, pivot, assume_unique=True)
-                    near = len(differ) <= NEAR * union or len(new) <= NEAR_NEW * len(own)
-                    far = len(differ) > FAR * union and len(new) > FAR_NEW * len(own)
+                    near = len(differ) <= limit.near * union or len(new) <= limit.near_new * len(own)
+                    far = len(differ) > limit.far * union and len(new) > limit.far_new * len(own)
                     salted = np.zeros(0, np.int64)
                     if far:
                         salted = np.sort((((new.astype(np.uint64) ^ (np.uint64(p * int(_C1) & 0xFFFFFFFFFFFFFFFF))) * _C2) >> np.uint64(1)).astype(np.int64))[:K]
@@ -244,7 +275,7 @@ def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tu
     prints = work.save(_prints(documents), "prints")
     nodes = prints.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
     nodes = work.save(nodes.select("k1", "k2", F.col("x.doc_id").alias("sid"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")), "nodes")
-    entries = work.save(_first_values(nodes, SHARE), "lists-0")
+    entries = work.save(_first_values(nodes, bounds(percent).share), "lists-0")
     candidates, edges = [], []
     for turn in range(1, ROUNDS + 1):
         candidates.append(_list_pairs(entries.where(f"members <= {LIST}"), percent))

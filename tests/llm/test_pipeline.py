@@ -1,6 +1,7 @@
 """The pipeline's stages against plain Python on the smallest tables."""
 
 import os
+import random
 
 import corpus_pipeline
 from marlstone.llm import decontaminate, near_duplicates, secrets
@@ -28,3 +29,43 @@ def test_stages(spark):
         rows = now
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.collect()} == set(rows)
+
+
+def test_near_duplicates_at_80(spark, monkeypatch):
+    """The stage against brute force, over families whose lists are long and hold far members."""
+    monkeypatch.setattr(near_duplicates, "LIST", 4)
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    common = [draw.choice(words) for _ in range(140)]
+    texts = []
+    for _ in range(12):  # families share 140 words; each adds 60 to 160, and its members edit up to 6 words
+        own = common + [draw.choice(words) for _ in range(draw.randrange(60, 160))]
+        for _ in range(6):
+            copy = list(own)
+            for _ in range(draw.randrange(7)):
+                copy[draw.randrange(len(copy))] = draw.choice(words)
+            texts.append(" ".join(copy))
+    sets = [set(near_duplicates.shingles(t).tolist()) for t in texts]
+    root = list(range(len(sets)))
+    between = 0
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if near_duplicates.linked(len(a & b), len(a), len(b), 80):
+                between += not near_duplicates.linked(len(a & b), len(a), len(b), 85)
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    pivot = sets[0]
+    assert between and any(len(s - pivot) > 0.34 * len(s) for s in sets)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    kept = corpus_pipeline.dedup_stage(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == set(root)
+
+
+def test_bounds_follow_percent():
+    assert near_duplicates.bounds(85) == (27 / 48, 0.45, 0.30, 0.43, 0.25)
+    for percent in range(near_duplicates.LEAST, 101):
+        b, p = near_duplicates.bounds(percent), percent / 100
+        assert b.near - b.far >= 1 - p - 1e-9 and (b.near_new - (1 - p)) / p >= b.far_new
+        assert int(b.share * near_duplicates.K) == round(b.share * near_duplicates.K)
