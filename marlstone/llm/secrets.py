@@ -20,13 +20,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ with 32 characters or more
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*((?:[A-Za-z-]+: [^\n]*\n)*)\s*([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+# In JSON and source strings a line end is written as backslash n, a slash as backslash slash.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:\s|\\+[nr])*((?:[A-Za-z-]+: (?:[^\n]*\n|[^\n\\]*(?:\\+[nr])+))*)((?:[A-Za-z0-9+/=\s]|\\+[nr/])+)-----END \1-----")
+BASE64 = re.compile(r"(?:(?<=\\[nr])|(?<![A-Za-z0-9+/])(?!(?<=\\)[nr]))[A-Za-z0-9+/]{40,}={0,2}")
+NEXT_LINE = re.compile(r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\+[nr])+)([A-Za-z0-9+/]+={0,2})")
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
 #: No encoded key is shorter than this many characters without a blank.
 LONG_WORD = 32
 SSH_MAGIC = b"openssh-key-v1\0"
+#: Ciphers of OpenSSH keys after whose private part a tag of 16 bytes stands.
+AEAD = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com")
 
 
 def der_children(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -53,7 +57,7 @@ def der_children(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key in PKCS#1, PKCS#8 (plain or encrypted) or SEC1 form, with lengths that nest exactly."""
+    """A private key in PKCS#1, traditional DSA, PKCS#8 (plain or encrypted) or SEC1 form, with lengths that nest exactly."""
     top = der_children(data)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
@@ -64,6 +68,8 @@ def is_der_key(data: bytes) -> bool:
     if tags[:1] == [0x02] and parts[0][1] in (b"\0", b"\1"):
         if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # version and eight integers
             return True
+        if tags == [0x02] * 6 and parts[0][1] == b"\0":  # DSA: version and five integers
+            return True
         if tags[1:3] == [0x30, 0x04]:  # algorithm, key
             algorithm = der_children(parts[1][1])
             return bool(algorithm) and algorithm[0][0] == 0x06
@@ -76,7 +82,7 @@ def is_der_key(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key: magic, three length-prefixed strings, a key count, that many public keys."""
+    """An OpenSSH private key: magic, three length-prefixed strings, a key count, that many public keys, the private part, a tag under AEAD ciphers."""
     if not data.startswith(SSH_MAGIC):
         return False
     at = len(SSH_MAGIC)
@@ -89,11 +95,12 @@ def is_ssh_key(data: bytes) -> bool:
         at += 4 + n
         return data[at - n:at] if at <= len(data) else None
 
-    if any(string() is None for _ in range(3)) or at + 4 > len(data):
+    head = [string() for _ in range(3)]
+    if None in head or at + 4 > len(data):
         return False
     keys = int.from_bytes(data[at:at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(string() is not None for _ in range(keys + 1)) and at == len(data)
+    return 1 <= keys <= 16 and all(string() is not None for _ in range(keys + 1)) and at + 16 * (head[0] in AEAD) == len(data)
 
 
 def decode64(text: str) -> bytes | None:
@@ -116,14 +123,6 @@ def is_token_header(part: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
-def is_token_body(part: str) -> bool:
-    """A base64url JSON object."""
-    try:
-        return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except (ValueError, RecursionError):
-        return False
-
-
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost, non-overlapping spans of each base kind (code points, end exclusive), too short ones dropped."""
     found = []
@@ -137,6 +136,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def wrapped(text: str, first: re.Match) -> list[tuple[str, int]]:
+    """(base64, end) to decode from ``first`` on: itself, and if it may open a key, joined with the lines under it.
+
+    Lines are as wide as the first but for the last; a word under the last line may look like one more.
+    """
+    alone = [(first[0], first.end())]
+    if first[0][0] not in "Mb" or first[0].endswith("="):  # DER opens with 0x30, OpenSSH with its magic
+        return alone
+    lines, ends = [first[0]], [first.end()]
+    while len(lines[-1]) == len(first[0]) and not lines[-1].endswith("=") and (m := NEXT_LINE.match(text, ends[-1])) and len(m[1]) <= len(first[0]):
+        lines.append(m[1])
+        ends.append(m.end())
+    return [("".join(lines[:k]), ends[k - 1]) for k in (len(lines), len(lines) - 1) if k > 1] + alone
+
+
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded bytes have the structure of a key, or whose header names a signature."""
     if max(map(len, text.split()), default=0) < LONG_WORD:
@@ -144,20 +158,22 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
     found, covered = [], []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = decode64(m[3])
+            data = decode64(re.sub(r"\\+[nr]", " ", m[3]).replace("\\", ""))
             if data is not None and (m[2] or is_der_key(data) or is_ssh_key(data)):
                 found.append(("pem_key", *m.span()))
                 covered.append(m.span())
     if "eyJ" in text:
-        found += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_token_header(m[1]) and is_token_body(m[2])]
+        found += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
     for m in BASE64.finditer(text):
         if any(a <= m.start() < b for a, b in covered):
             continue
-        data = decode64(m[0])
-        if data and data[:1] == b"\x30" and is_der_key(data):
-            found.append(("der_key", *m.span()))
-        elif data and is_ssh_key(data):
-            found.append(("ssh_key", *m.span()))
+        for code, end in wrapped(text, m):
+            data = decode64(code)
+            kind = "der_key" if data and data[:1] == b"\x30" and is_der_key(data) else "ssh_key" if data and is_ssh_key(data) else None
+            if kind:
+                found.append((kind, m.start(), end))
+                covered.append((m.start(), end))
+                break
     for m in HEX_BYTES.finditer(text):
         if m[0][:2] == "30" and is_der_key(bytes.fromhex(m[0])):
             found.append(("der_key", *m.span()))
