@@ -21,9 +21,15 @@ def session(master: str = "local[8]", app: str = "marlstone", partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is named, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    In local mode a local folder is set where none is named. On a cluster a local folder would lose rows, so
+    a session that names none raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/marlstone-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
