@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
+#: Ids that are broadcast at most, 8 bytes each; more of them are joined by shuffle.
+FEW_IDS = 1 << 22
 #: Bytes of text that one step inside a Python worker holds in decoded form.
 STEP_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; in a session that names none (tests), a local folder is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/marlstone-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 class Workspace:
     """Written tables of one run, in the shared folder: they cut lineage and survive a lost executor."""
 
@@ -37,13 +34,48 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no lazy result reads any more."""
+        """Delete tables that no lazy result reads any more (a table that is not there is passed over)."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Internal column names that clash with none of ``columns``, in any case."""
+    taken, made = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        made.append(name)
+    return made
+
+
+def quoted(name: str) -> str:
+    """A column name in backticks, so that dots and blanks in it are part of it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def only(documents: DataFrame, ids: DataFrame, count: int, key: str = "doc_id") -> DataFrame:
+    """Rows of ``documents`` whose ``key`` is among ``ids`` (distinct, one column of that name): up to
+    FEW_IDS ids are broadcast, so that no other row is exchanged, more are joined by shuffle."""
+    return documents.join(F.broadcast(ids) if count <= FEW_IDS else ids.hint("merge"), key, "left_semi")
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes are dealt by their ranges, so that order by hash is order by bucket."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal neighbours."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.append(0, np.flatnonzero(values[1:] != values[:-1]) + 1)
+    return begin, np.append(begin[1:], len(values))
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose ``column`` holds at most ``most`` bytes (a longer value stands alone)."""
     for batch in batches:
@@ -66,19 +98,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def components(edges: DataFrame, work: Workspace, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str = "components", rounds: int | None = None) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long) as rows (node, component = least node).
 
     Alternating large-star and small-star steps: every node's neighbours are re-hung on the least
     of them. A node's neighbours are never gathered; each step is a combinable ``min`` and a join on
     the node, whose skew adaptive execution splits. Each round is a written table, so a lost executor
-    costs one round at most; the old one is deleted. Edges with a null end and loops are ignored; an
+    costs one round at most; the old one is deleted. Rounds go with the logarithm of the longest path;
+    ``rounds`` bounds them only where the caller asks for it. Edges with a null end and loops are ignored; an
     empty input gives no rows.
     """
     clean = edges.where("a is not null and b is not null and a != b")
     now = work.save(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     before = None
-    for turn in range(1, rounds + 1):
+    for turn in itertools.count(1):
+        if rounds is not None and turn > rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -93,6 +128,4 @@ def components(edges: DataFrame, work: Workspace, name: str = "components", roun
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

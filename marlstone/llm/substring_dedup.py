@@ -3,11 +3,16 @@
 A string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the least of their hashes is its anchor, so equal
 strings have equal anchors wherever they stand. Texts fall into segments: runs of windows with one
 anchor. Only segments with anchors that several documents have are exchanged, by anchor, and each
-distinct one once per batch of documents. In a bucket of anchors, distinct segments are put into one
-run-compressed index, and their matching statistics, streamed over it, tell the earliest document of
-each of their windows. What was found goes back to the batches, which mark their bytes.
+distinct one once per batch of documents. In a bucket of anchors, the segments of the earliest documents
+go into a run-compressed index and the others' matching statistics are streamed over it; what the index
+does not have is put into the next one. So the earliest document of each window is found, which goes back
+to the batches, where the bytes are marked.
 
-The texts are exchanged once (by a hash of doc_id); the three passes over batches share that exchange.
+Windows of an anchor that more than ``hot`` batches have are dealt out one by one, by their own hash, so
+that no bucket gathers a frequent anchor's segments.
+
+The texts are exchanged once (by a hash of doc_id); the three passes over batches share that exchange. The
+number of partitions is the session's, whatever the number of batches and buckets.
 """
 
 from __future__ import annotations
@@ -21,37 +26,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .run_index import RunIndex
+from .common import bucket_of, runs
+from .run_index import NONE, RunIndex, spread, words
 
 LENGTH, GRAM = 50, 16
 #: Windows in a segment (longer runs, of repetitive text, are cut), and bytes of text in a batch.
 WINDOWS, BATCH_BYTES = 64, 2 << 20
 #: Bytes of segments that one index holds; further anchors of a bucket go to a further index.
 INDEX_BYTES = 512 << 10
-NONE = np.iinfo(np.int64).max
+#: Batches that may have an anchor before its windows are dealt out one by one.
+HOT = 4096
+#: Places whose hashes are worked out at a time, so that they stay in cache.
+STEP = 1 << 14
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _gram_hashes(flat: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM (a power of two) bytes from each place on."""
-    h = (flat.astype(np.uint64) + np.uint64(1)) * _C1
-    h ^= h >> np.uint64(31)
-    n = 1
-    while n < GRAM:
-        h = h[:-n] * _C1 + h[n:]
-        h ^= h >> np.uint64(29)
-        n *= 2
+    """Hash of the GRAM bytes (two words of eight) from each place on."""
+    word = words(flat)
+    h = word[:-8] * _C1
+    h ^= h >> np.uint64(32)
+    h += word[8:]
     h *= _C2
+    h ^= h >> np.uint64(29)
+    h *= _C1
     h ^= h >> np.uint64(32)
     return h
 
 
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` neighbours."""
-    n = 1
-    while 2 * n <= width:
-        h, n = np.minimum(h[:-n], h[n:]), 2 * n
-    return np.minimum(h[:len(h) - (width - n)], h[width - n:]) if n < width else h
+def _anchors(flat: np.ndarray, length: int) -> np.ndarray:
+    """Least gram hash of the ``length`` bytes from each place on."""
+    width = length - GRAM + 1
+    out = np.empty(len(flat) - length + 1, np.uint64)
+    for a in range(0, len(out), STEP):
+        b = min(a + STEP, len(out))
+        h, n = _gram_hashes(flat[a:b + length - 1]), 1
+        while 2 * n <= width:
+            h, n = np.minimum(h[:-n], h[n:]), 2 * n
+        np.minimum(h[:b - a], h[width - n:width - n + b - a], out=out[a:b])
+    return out
+
+
+def _window_hashes(windows: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, windows), np.uint64, len(windows))
 
 
 class Batch:
@@ -61,37 +80,40 @@ class Batch:
     """
 
     def __init__(self, rows: pa.Table, length: int):
-        ids, keys, firsts, texts = (rows[c].to_pylist() for c in ("doc_id", "key", "first", "text"))
-        first = {(i, k) for i, k, f in zip(ids, keys, firsts, strict=True) if f}
-        own = [(i, k, (t or "").encode()) for i, k, f, t in zip(ids, keys, firsts, texts, strict=True) if not f]
-        own = sorted(x for x in own if len(x[2]) < length or x[:2] in first)
-        self.ids, self.raw = [x[0] for x in own], [x[2] for x in own]
+        named = rows.filter(rows["first"])
+        first = set(zip(named["doc_id"].to_pylist(), named["key"].to_pylist(), strict=True))
+        own = rows.filter(pc.invert(rows["first"]))
+        sizes = pc.binary_length(own["text"]).to_numpy()
+        keep = [n < length or x in first for n, x in zip(sizes.tolist(), zip(own["doc_id"].to_pylist(), own["key"].to_pylist(), strict=True), strict=True)]
+        own = own.filter(pa.array(keep, pa.bool_()))
+        own = own.take(pc.sort_indices(own, [("doc_id", "ascending"), ("key", "ascending")]))
+        self.ids = own["doc_id"].to_numpy()
         self.length = length
-        sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        sizes = pc.binary_length(own["text"]).to_numpy().astype(np.int64)
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
-        self.bytes = b"".join(self.raw)
-        self.flat = np.frombuffer(self.bytes, np.uint8) if self.bytes else np.zeros(0, np.uint8)
-        n = len(self.flat)
+        self.bytes = b"".join(x.as_buffer() for x in own["text"].cast(pa.large_binary()))
+        self.flat = np.frombuffer(self.bytes, np.uint8)
         self.start = self.windows = self.owner = np.zeros(0, np.int64)
         self.anchor = np.zeros(0, np.uint64)
-        if n >= length:
-            least = _least(_gram_hashes(self.flat), length - GRAM + 1)
-            whose = np.repeat(np.arange(len(sizes)), sizes)[:len(least)]
-            valid = np.arange(len(least)) + length <= self.ends[whose]
-            new = np.append(True, (least[1:] != least[:-1]) | (whose[1:] != whose[:-1]))
-            cut = np.flatnonzero(valid & (new | np.append(True, ~valid[:-1])))
-            if len(cut):
-                place = np.flatnonzero(valid)
-                upto = np.append(np.searchsorted(place, cut[1:]), len(place))
-                count = upto - np.searchsorted(place, cut)
-                parts = -(-count // WINDOWS)  # repetitive text: cut long runs
-                index = np.repeat(np.arange(len(cut)), parts)
-                turn = np.arange(len(index)) - np.repeat(np.cumsum(parts) - parts, parts)
-                self.start = cut[index] + turn * WINDOWS
-                self.windows = np.minimum(WINDOWS, count[index] - turn * WINDOWS)
-                self.anchor = least[self.start]
-                self.owner = whose[self.start]
+        if len(self.flat) >= length:
+            least = _anchors(self.flat, length)
+            new = np.append(True, least[1:] != least[:-1])
+            stop = self.ends - length + 1  # a document's windows start in [begin, stop)
+            new[self.begins[self.begins < len(new)]] = True
+            new[stop[(stop >= self.begins) & (stop < len(new))]] = True
+            cut = np.flatnonzero(new)
+            count = np.diff(np.append(cut, len(new)))
+            whose = np.searchsorted(self.ends, cut, "right")
+            inside = cut < stop[whose]
+            cut, count, whose = cut[inside], count[inside], whose[inside]
+            parts = -(-count // WINDOWS)  # repetitive text: cut long runs
+            index = np.repeat(np.arange(len(cut)), parts)
+            turn = np.arange(len(index)) - np.repeat(np.cumsum(parts) - parts, parts)
+            self.start = cut[index] + turn * WINDOWS
+            self.windows = np.minimum(WINDOWS, count[index] - turn * WINDOWS)
+            self.anchor = least[self.start] * _C1  # least hashes are small numbers: spread them again
+            self.owner = whose[index]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order, whether several documents have each, and each segment's index among them."""
@@ -104,25 +126,40 @@ class Batch:
         at[order] = np.cumsum(new) - 1
         return ordered[first], self.owner[order[first]] != self.owner[order[last]], at
 
-    def shared(self, buckets: int, masks: dict[int, np.ndarray]) -> tuple[list[bytes], list[int], list[int], np.ndarray, np.ndarray]:
-        """Distinct segments with shared anchors: bytes, anchors, first documents; places of all such segments and which each is."""
+    def shared(self, buckets: int, lists: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct segments with shared anchors: bytes, anchors, first documents; then the starts and windows
+        of all such segments and which of the distinct ones each is. Of hot anchors, each window is a segment.
+
+        ``lists`` has for each bucket with shared anchors their flags, and after them those of hot anchors.
+        """
         distinct, _, at = self.anchors()
-        flag = np.zeros(len(distinct), bool)
+        flag, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
         bucket = bucket_of(distinct, buckets)
-        edge = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b, mask in masks.items():
-            flag[edge[b]:edge[b + 1]] = mask[:edge[b + 1] - edge[b]]
+        which = lists["bucket"].to_numpy()
+        low, high = np.searchsorted(bucket, which), np.searchsorted(bucket, which, "right")
+        for a, b, x in zip(low.tolist(), high.tolist(), lists["blob"].to_pylist(), strict=True):
+            bits = np.unpackbits(np.frombuffer(x, np.uint8))
+            flag[a:b], hot[a:b] = bits[:b - a], bits[b - a:2 * (b - a)]
         use = np.flatnonzero(flag[at])
+        single = np.flatnonzero((flag & hot)[at])
+        if len(single):
+            use = np.flatnonzero((flag & ~hot)[at])
+            many = self.windows[single]
+            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start = np.append(self.start[use], np.repeat(self.start[single], many) + offset)
+            windows = np.append(self.windows[use], np.ones(len(offset), np.int64))
+            owner = np.append(self.owner[use], np.repeat(self.owner[single], many))
+            texts = [self.bytes[a:a + self.length] for a in start[len(use):].tolist()]
+            anchor = np.append(self.anchor[use], _window_hashes(texts))
+        else:
+            start, windows, owner, anchor = self.start[use], self.windows[use], self.owner[use], self.anchor[use]
         known: dict[bytes, int] = {}
-        anchors, first, which = [], [], []
-        start, stop = self.start[use].tolist(), (self.start[use] + self.windows[use] + self.length - 1).tolist()
-        for a, b, anchor, owner in zip(start, stop, self.anchor[use].tolist(), self.owner[use].tolist(), strict=True):
-            k = known.setdefault(self.bytes[a:b], len(known))
-            if k == len(anchors):
-                anchors.append(anchor)
-                first.append(self.ids[owner])
-            which.append(k)
-        return list(known), anchors, first, use, np.array(which, np.int64)
+        which = np.fromiter((known.setdefault(self.bytes[a:b], len(known)) for a, b in zip(start.tolist(), (start + windows + self.length - 1).tolist(), strict=True)), np.int64, len(start))
+        # The first place of each distinct segment; of several documents in a batch the first may not be the least.
+        first, place = np.full(len(known), NONE), np.zeros(len(known), np.int64)
+        np.minimum.at(first, which, self.ids[owner])
+        place[which[::-1]] = np.arange(len(which))[::-1]
+        return list(known), anchor[place], first, start, windows, which
 
 
 def mark(change: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
@@ -131,43 +168,77 @@ def mark(change: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
         change += np.bincount(begins, minlength=len(change)) - np.bincount(ends, minlength=len(change))
 
 
-def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
-    """Anchors are dealt by ranges of their hash, so that order by anchor is order by bucket."""
-    return ((anchors >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def _pack(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-def _earliest(segments: list[bytes], anchors: np.ndarray, first: np.ndarray, length: int) -> list[np.ndarray]:
-    """Earliest document of each window of distinct segments; only those that share an anchor need an index."""
-    out = [np.full(len(s) - length + 1, d) for s, d in zip(segments, first.tolist(), strict=True)]
-    order = np.argsort(anchors, kind="stable")
-    ordered = anchors[order]
-    edge = np.append(np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])), len(ordered)) if len(ordered) else np.zeros(1, np.int64)
-    group: list[int] = []
-    held = 0
-
-    def settle():
-        if group:
-            texts = [segments[k] for k in group]
-            index = RunIndex(texts, first[group], length)
-            for k, got in zip(group, index.earliest_documents(texts), strict=True):
-                out[k] = got
-
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if b - a > 1:
-            if held > INDEX_BYTES:
-                settle()
-                group, held = [], 0
-            group += order[a:b].tolist()
-            held += sum(len(segments[k]) for k in order[a:b].tolist())
-    settle()
-    return out
+def _promising(eights: np.ndarray, start: np.ndarray, windows: np.ndarray, anchors: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The pieces without windows that hold eight bytes which are met once only under the anchor: no other piece has those."""
+    at = spread(start, windows + length - 8)
+    piece = np.repeat(np.arange(len(start)), windows + length - 8)
+    bits = max(12, len(at).bit_length() + 2)
+    slot = ((eights[at] * _C1 ^ anchors[piece]) * _C2 >> np.uint64(64 - bits)).astype(np.int64)
+    again = (np.bincount(slot, minlength=1 << bits) > 1)[slot]
+    begin, end = runs(piece * 2 + again)
+    go = again[begin] & (end - begin >= length - 7)
+    begin, end = begin[go], end[go]
+    return at[begin], end - begin - (length - 8), anchors[piece[begin]], first[piece[begin]]
+
 
+def _resolve(flat: np.ndarray, eights: np.ndarray, start: np.ndarray, windows: np.ndarray, anchors: np.ndarray, first: np.ndarray, length: int, out: np.ndarray) -> None:
+    """Earliest documents of the windows of pieces of ``flat``, written to ``out`` where they start.
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+    Of each anchor, the pieces of the earliest documents are indexed, first one, then ever more, and the
+    others are streamed over the index. Windows that it has are settled, for the others' documents are not
+    earlier; runs of windows that it has not go on to the next index. ``eights`` are the flat bytes' ``words``.
+    """
+    indexed = 1
+    while len(start):
+        start, windows, anchors, first = _promising(eights, start, windows, anchors, first, length)
+        order = np.lexsort((first, anchors))
+        start, windows, anchors, first = start[order], windows[order], anchors[order], first[order]
+        begin, end = runs(anchors)
+        size = np.repeat(end - begin, end - begin)
+        rank = np.arange(len(anchors)) - np.repeat(begin, end - begin)
+        into, rest = np.flatnonzero((size > 1) & (rank < indexed)), np.flatnonzero((size > 1) & (rank >= indexed))
+        if not len(into):
+            return
+        cut = lambda some: (flat[spread(start[some], windows[some] + length - 1)], windows[some] + length - 1)
+        index = RunIndex(*cut(into), first[into], length)
+        out[spread(start[into], windows[into])] = index.own
+        got = index.earliest_documents(*cut(rest))
+        place = spread(start[rest], windows[rest])
+        met = got != NONE
+        out[place[met]] = got[met]
+        piece = np.repeat(rest, windows[rest])
+        begin, end = runs(piece * 2 + met)
+        go = ~met[begin]
+        begin, end = begin[go], end[go]
+        start, windows, anchors, first = place[begin], end - begin, anchors[piece[begin]], first[piece[begin]]
+        indexed *= 4
+
+
+def _earliest(segments: list[bytes], anchors: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Earliest document of each window of distinct segments, and the windows of each segment; only those
+    that share an anchor need an index."""
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+    flat = np.frombuffer(b"".join(segments), np.uint8)
+    eights = words(flat)
+    start, windows = np.cumsum(sizes) - sizes, sizes - length + 1
+    out = np.repeat(first, sizes)
+    order = np.argsort(anchors, kind="stable")
+    begin, end = runs(anchors[order])
+    order = order[np.repeat(end - begin > 1, end - begin)]
+    begin, end = runs(anchors[order])
+    # Whole anchors, up to INDEX_BYTES and then one more.
+    group = np.cumsum(np.add.reduceat(sizes[order], begin)) // INDEX_BYTES if len(order) else begin
+    for a, b in zip(*runs(group), strict=True):
+        some = order[begin[a]:end[b - 1]]
+        _resolve(flat, eights, start[some], windows[some], anchors[some], first[some], length, out)
+    return out[spread(start, windows)], windows
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """Remove bytes covered by a string of ``length`` bytes that also starts in a document with a smaller doc_id.
 
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256), with ``keep_text`` also ``kept`` (binary:
@@ -185,12 +256,12 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
     prints = work.save(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key")), "prints")
     least = work.save(prints.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "least")
     total = prints.agg(F.sum("n_bytes")).first()[0] or 0
-    batches = max(1, -(-total // BATCH_BYTES))
-    buckets = batches
+    batches = buckets = max(1, -(-total // BATCH_BYTES))
+    partitions = min(batches, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     rows = docs.where("doc_id is not null").select(batch, "doc_id", F.sha2("text", 256).alias("key"), "text", F.lit(False).alias("first"))
-    rows = rows.unionAll(least.select(batch, "doc_id", "key", F.lit(None).cast("string").alias("text"), F.lit(True).alias("first"))).repartition(batches, "batch")
+    rows = rows.unionAll(least.select(batch, "doc_id", "key", F.lit(None).cast("string").alias("text"), F.lit(True).alias("first"))).repartition(partitions, "batch")
 
     blob = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())])
     kinds = "bucket long, batch long, blob binary"
@@ -198,10 +269,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
     def first_pass(key, table):
         b = key[0].as_py()
         distinct, several, _ = Batch(table, length).anchors()
-        edge = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
+        bucket = bucket_of(distinct, buckets)
         # The lowest bit tells whether several documents of the batch have the anchor.
         marked = distinct & ~np.uint64(1) | several.astype(np.uint64)
-        return _pack([{"bucket": k, "batch": b, "blob": marked[edge[k]:edge[k + 1]].tobytes()} for k in np.flatnonzero(np.diff(edge)).tolist()], blob)
+        return _pack([{"bucket": int(bucket[x]), "batch": b, "blob": marked[x:y].tobytes()} for x, y in zip(*runs(bucket), strict=True)], blob)
 
     def which_shared(key, table):
         k = key[0].as_py()
@@ -210,23 +281,20 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
         distinct, at, count = np.unique(every & ~np.uint64(1), return_inverse=True, return_counts=True)
         shared = count > 1
         shared[at[(every & np.uint64(1)).astype(bool)]] = True
-        flags = shared[at]
+        flags, frequent = shared[at], (count > hot)[at]
         edge = np.cumsum([0, *map(len, parts)])
-        return _pack([{"bucket": k, "batch": b, "blob": np.packbits(flags[edge[i]:edge[i + 1]]).tobytes()} for i, b in enumerate(table["batch"].to_pylist()) if flags[edge[i]:edge[i + 1]].any()], blob)
-
-    def masks(table):
-        return {b: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for b, x in zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), strict=True)}
+        return _pack([{"bucket": k, "batch": b, "blob": np.packbits(np.append(flags[x:y], frequent[x:y])).tobytes()}
+                      for b, x, y in zip(table["batch"].to_pylist(), edge[:-1], edge[1:], strict=True) if flags[x:y].any()], blob)
 
     def second_pass(key, table, lists):
         b = key[0].as_py()
-        segments, anchors, first, _, _ = Batch(table, length).shared(buckets, masks(lists))
-        bucket = bucket_of(np.array(anchors, np.uint64), buckets)
+        segments, anchors, first, *_ = Batch(table, length).shared(buckets, lists)
+        bucket = bucket_of(anchors, buckets)
         order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        sizes, first, anchors = np.fromiter(map(len, segments), np.uint32, len(segments)), np.array(first, np.int64), np.array(anchors, np.uint64)
+        sizes = np.fromiter(map(len, segments), np.uint32, len(segments))
         made = []
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            mine = order[edge[k]:edge[k + 1]]
+        for x, y in zip(*runs(bucket[order]), strict=True):
+            mine, k = order[x:y], int(bucket[order[x]])
             head = np.array([len(mine)], np.uint64).tobytes() + anchors[mine].tobytes() + first[mine].tobytes() + mine.astype(np.uint32).tobytes() + sizes[mine].tobytes()
             made.append({"bucket": k, "batch": b, "blob": head + b"".join([segments[i] for i in mine.tolist()])})
         return _pack(made, blob)
@@ -253,10 +321,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
                 which.append(v)
             sent.append((b, ref, d, np.array(which)))
         segments = list(known)
-        earliest = _earliest(segments, np.array(anchors, np.uint64), np.array(first, np.int64), length)
+        flat, sizes = _earliest(segments, np.array(anchors, np.uint64), np.array(first, np.int64), length)
         # Runs of windows with one earliest document.
-        flat = np.concatenate(earliest)
-        sizes = np.fromiter(map(len, earliest), np.int64, len(earliest))
         offset = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         new = np.flatnonzero((offset == 0) | np.append(True, flat[1:] != flat[:-1]))
         count = np.diff(np.append(new, len(flat)))
@@ -278,12 +344,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
     def third_pass(key, table, found):
         kept = Batch(table, length)
         lists = found.filter(pc.equal(found["kind"], 0))
-        segments, _, first, use, which = kept.shared(buckets, masks(lists))
+        segments, _, first, start, windows, which = kept.shared(buckets, lists)
         change = np.zeros(len(kept.flat) + 1, np.int64)
-        start, windows = kept.start[use], kept.windows[use]
-        ids = np.array(kept.ids, np.int64)
-        first = np.array(first, np.int64)
-        later = first[which] < ids[kept.owner[use]] if len(use) else np.zeros(0, bool)  # a copy inside the batch
+        later = first[which] < kept.ids[np.searchsorted(kept.ends, start, "right")]  # a copy inside the batch
         mark(change, start[later], start[later] + windows[later] + length - 1)
         by = np.argsort(which, kind="stable")
         edge = np.searchsorted(which[by], np.arange(len(segments) + 1))
@@ -301,10 +364,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
         mark(change, np.concatenate(begins), np.concatenate(ends))
         gone = np.cumsum(change[:-1]) > 0
         out = []
-        for d, raw, a, b in zip(kept.ids, kept.raw, kept.begins.tolist(), kept.ends.tolist(), strict=True):
+        for d, a, b in zip(kept.ids.tolist(), kept.begins.tolist(), kept.ends.tolist(), strict=True):
             mine = gone[a:b]
-            removed = int(mine.sum())
-            left = kept.flat[a:b][~mine].tobytes() if removed else raw
+            removed = int(np.count_nonzero(mine))
+            left = kept.flat[a:b][~mine].tobytes() if removed else kept.bytes[a:b]
             out.append({"doc_id": d, "n_bytes": b - a, "n_removed": removed, "n_spans": int(np.count_nonzero(mine[1:] & ~mine[:-1]) + (b > a and mine[0])) if removed else 0,
                         "kept_sha256": hashlib.sha256(left).hexdigest()} | ({"kept": left} if keep_text else {}))
         return _pack(out, pa.schema(names))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import (common, decontaminate, language_model, near_duplicates, packing, quality, secrets,
                            substring_dedup, token_counts, url_filter, warc)
-from marlstone.llm.run_index import RunIndex
+from marlstone.llm.run_index import NONE, RunIndex
 
 random.seed(11)
 WORDS = [f"w{k}" for k in range(400)]
@@ -88,16 +88,25 @@ def test_plan_places_each_piece_once_and_tightly():
     assert sequences <= len(bins)
 
 
+def flat(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+
+
 def test_run_index():
-    for depth in (4, 8, 50):
-        texts = [bytes(random.choice(b"ab\0") for _ in range(random.randint(0, 60))) for _ in range(10)]
+    for trial in range(60):
+        depth = random.choice((4, 7, 8, 10, 50))
+        parts = [bytes(random.choice(b"ab\0") for _ in range(random.randint(0, 3 * depth))) for _ in range(5)]
+        make = lambda parts=parts, depth=depth: b"".join(random.choice(parts)[random.randint(0, depth):] for _ in range(random.randint(0, 4)))
+        texts, others = [make() for _ in range(10)], [make() for _ in range(10)]
         documents = np.array([random.randint(0, 9) for _ in texts])
         first = {}
         for t, d in zip(texts, documents):
             for i in range(len(t) - depth + 1):
                 first[t[i:i + depth]] = min(first.get(t[i:i + depth], 99), d)
-        for t, got in zip(texts, RunIndex(texts, documents, depth).earliest_documents(texts)):
-            assert got.tolist() == [first[t[i:i + depth]] for i in range(len(t) - depth + 1)]
+        index = RunIndex(*flat(texts), documents, depth)
+        windows = lambda some, depth=depth: [t[i:i + depth] for t in some for i in range(len(t) - depth + 1)]
+        assert index.own.tolist() == [first[w] for w in windows(texts)]
+        assert index.earliest_documents(*flat(others)).tolist() == [first.get(w, NONE) for w in windows(others)]
 
 
 def test_remove_repeats(docs, empty):
@@ -110,9 +119,10 @@ def test_remove_repeats(docs, empty):
                 gone[k:k + 50] = True
         spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(b) > 0 and gone[0]))
         want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes() if b else b"").hexdigest()))
-    got = substring_dedup.remove_repeats(docs).collect()
-    assert sorted(tuple(r) for r in got if r.doc_id is not None) == sorted(want)
-    assert [r.n_removed for r in got if r.doc_id is None] == [0]
+    for hot in (substring_dedup.HOT, 1):  # as it is, and with every anchor's windows dealt out one by one
+        got = substring_dedup.remove_repeats(docs, hot=hot).collect()
+        assert sorted(tuple(r) for r in got if r.doc_id is not None) == sorted(want)
+        assert [r.n_removed for r in got if r.doc_id is None] == [0]
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
