@@ -20,14 +20,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ with 32 characters or more
+MARKER = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----")
+HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):(.*)")
 # In JSON and source strings a line end is written as backslash n, a slash as backslash slash.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:\s|\\+[nr])*((?:[A-Za-z-]+: (?:[^\n]*\n|[^\n\\]*(?:\\+[nr])+))*)((?:[A-Za-z0-9+/=\s]|\\+[nr/])+)-----END \1-----")
-BASE64 = re.compile(r"(?:(?<=\\[nr])|(?<![A-Za-z0-9+/])(?!(?<=\\)[nr]))[A-Za-z0-9+/]{40,}={0,2}")
-NEXT_LINE = re.compile(r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\+[nr])+)([A-Za-z0-9+/]+={0,2})")
-HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
-#: No encoded key is shorter than this many characters without a blank.
+LINE_END = re.compile(r"\\+[nr]|[\r\n]+")
+BASE64 = re.compile(r"(?:(?<=\\[nr])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr]))[A-Za-z0-9+/_-]{40,}={0,2}")
+NEXT_LINE = re.compile(r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\+[nr])+)([A-Za-z0-9+/_-]+={0,2})")
+HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+# A JSON object opens with a brace, then a quote or white space: in base64 ey or ew.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
+#: A run of 32 hex digits or 40 characters of base64 is part of a word of at least so many characters.
 LONG_WORD = 32
+#: No encoded private key has more bytes (one of 16,384 bits has about 9,500).
+LARGEST_KEY = 1 << 16
+URL_SAFE = str.maketrans("-_", "+/")
 SSH_MAGIC = b"openssh-key-v1\0"
 #: Ciphers of OpenSSH keys after whose private part a tag of 16 bytes stands.
 AEAD = (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com")
@@ -104,8 +110,10 @@ def is_ssh_key(data: bytes) -> bool:
 
 
 def decode64(text: str) -> bytes | None:
-    """Bytes of standard base64 with or without its padding; None if it is none."""
+    """Bytes of base64, standard or url-safe, with or without its padding; None if it is none."""
     bare = "".join(text.split()).rstrip("=")
+    if "+" not in bare and "/" not in bare:
+        bare = bare.translate(URL_SAFE)
     if len(bare) % 4 == 1:
         return None
     try:
@@ -136,46 +144,90 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def wrapped(text: str, first: re.Match) -> list[tuple[str, int]]:
-    """(base64, end) to decode from ``first`` on: itself, and if it may open a key, joined with the lines under it.
+def is_pem_body(body: str) -> bool:
+    """What stands between the lines of a PEM block: headers, then base64 of a private key. An encrypted key in
+    the traditional form has no structure of its own: its headers must name cipher and start vector,
+    and its bytes must be whole blocks."""
+    lines = [x.strip() for x in LINE_END.split(body.replace("\\/", "/"))]
+    lines = [x for x in lines if x]
+    headers, at = {}, 0
+    while at < len(lines) and (m := HEADER.fullmatch(lines[at])):
+        headers[m[1].lower()] = m[2].strip()
+        at += 1
+    data = decode64("".join(lines[at:]))
+    if not data:
+        return False
+    if "ENCRYPTED" in headers.get("proc-type", "") and (m := re.fullmatch(r"[A-Za-z0-9-]+,([0-9A-Fa-f]+)", headers.get("dek-info", ""))):
+        return len(m[1]) >= 16 and len(data) >= 32 and len(data) % 8 == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def pem_spans(text: str) -> list[tuple[str, int, int]]:
+    """Blocks from a BEGIN line to the END line of the same label with no such line in between: one pass."""
+    found, begin = [], None
+    for m in MARKER.finditer(text):
+        if m[1] == "END" and begin is not None and begin[2] == m[2] and is_pem_body(text[begin.end():m.start()]):
+            found.append(("pem_key", begin.start(), m.end()))
+        begin = m if m[1] == "BEGIN" else None
+    return found
 
-    Lines are as wide as the first but for the last; a word under the last line may look like one more.
-    """
-    alone = [(first[0], first.end())]
-    if first[0][0] not in "Mb" or first[0].endswith("="):  # DER opens with 0x30, OpenSSH with its magic
-        return alone
-    lines, ends = [first[0]], [first.end()]
-    while len(lines[-1]) == len(first[0]) and not lines[-1].endswith("=") and (m := NEXT_LINE.match(text, ends[-1])) and len(m[1]) <= len(first[0]):
-        lines.append(m[1])
+
+def wanted(code: str) -> int:
+    """Characters of base64, without padding, that the key which ``code`` opens has by its own lengths;
+    0 if it opens none. For OpenSSH keys, whose lengths lie further on, the most that a key may have."""
+    if code.startswith(base64.b64encode(SSH_MAGIC).decode()[:18]):
+        return LARGEST_KEY * 4 // 3
+    head = decode64(code[:12]) if code[0] == "M" else None
+    if not head or head[0] != 0x30:
+        return 0
+    width = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if width > 4:
+        return 0
+    n = 2 + width + (int.from_bytes(head[2:2 + width], "big") if width else head[1])
+    return -(-n * 4 // 3) if n <= LARGEST_KEY else 0
+
+
+def key_at(text: str, first: re.Match) -> tuple[str, int] | None:
+    """(kind, end) of the key that the run of base64 opens, alone or joined with the lines under it, which
+    are as wide but for the last; its own lengths tell how many lines to join."""
+    most = wanted(first[0])
+    if not most:
+        return None
+    width, end, parts, held = len(first[0]), first.end(), [first[0]], len(first[0].rstrip("="))
+    ends = [end]
+    while held < most and len(parts[-1]) == width and not parts[-1].endswith("=") and (m := NEXT_LINE.match(text, ends[-1])) and len(m[1]) <= width:
+        parts.append(m[1])
         ends.append(m.end())
-    return [("".join(lines[:k]), ends[k - 1]) for k in (len(lines), len(lines) - 1) if k > 1] + alone
+        held += len(m[1].rstrip("="))
+    # A word under the last line of an OpenSSH key may look like one more line.
+    for k in (len(parts), len(parts) - 1):
+        data = decode64("".join(parts[:k])) if k else None
+        if data and data[0] == 0x30 and is_der_key(data):
+            return "der_key", ends[k - 1]
+        if data and is_ssh_key(data):
+            return "ssh_key", ends[k - 1]
+    return None
 
 
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans whose decoded bytes have the structure of a key, or whose header names a signature."""
+    """Spans whose decoded bytes have the structure of a key, or whose header names a signature. The time
+    goes with the length of the text."""
+    found = pem_spans(text) if "-----BEGIN " in text else []
+    found += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
     if max(map(len, text.split()), default=0) < LONG_WORD:
-        return []
-    found, covered = [], []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = decode64(re.sub(r"\\+[nr]", " ", m[3]).replace("\\", ""))
-            if data is not None and (m[2] or is_der_key(data) or is_ssh_key(data)):
-                found.append(("pem_key", *m.span()))
-                covered.append(m.span())
-    if "eyJ" in text:
-        found += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
+        return found
+    until, blocks = 0, iter([*(s[1:] for s in found if s[0] == "pem_key"), (len(text), len(text))])
+    low, high = next(blocks)
     for m in BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in covered):
+        while high <= m.start() and high < len(text):
+            low, high = next(blocks)
+        if m.start() < until or low <= m.start() < high:
             continue
-        for code, end in wrapped(text, m):
-            data = decode64(code)
-            kind = "der_key" if data and data[:1] == b"\x30" and is_der_key(data) else "ssh_key" if data and is_ssh_key(data) else None
-            if kind:
-                found.append((kind, m.start(), end))
-                covered.append((m.start(), end))
-                break
+        if m[0][0] in "Mb" and (key := key_at(text, m)):
+            found.append((key[0], m.start(), key[1]))
+            until = key[1]
     for m in HEX_BYTES.finditer(text):
-        if m[0][:2] == "30" and is_der_key(bytes.fromhex(m[0])):
+        if m[0][:2] == "30" and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der_key", *m.span()))
     return found
 
@@ -221,7 +273,9 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 def redact_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with secrets replaced by ``mark`` in ``text`` and ``n_chars`` brought up to date.
 
-    All columns and rows stay; a null text stays null with its n_chars. No shuffle.
+    All columns and rows stay, repeated ones too; a null text stays null with its n_chars, an empty text is
+    kept, an empty table gives none. ``n_chars`` is only written if it is a column of whole numbers.
+    Other columns pass unread, whatever their names. No shuffle.
     """
     def run(batches):
         for batch in common.steps(batches):
@@ -229,7 +283,7 @@ def redact_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             texts = [None if t is None else redact(t, mark) for t in batch.column(at).to_pylist()]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             n = batch.schema.get_field_index("n_chars")
-            if n >= 0:
+            if n >= 0 and pa.types.is_integer(batch.schema.field(n).type):
                 old = batch.column(n).to_pylist()
                 batch = batch.set_column(n, batch.schema.field(n), pa.array([o if t is None else len(t) for o, t in zip(old, texts, strict=True)], batch.schema.field(n).type))
             yield batch
