@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 from .ranked_merge import PairTable, merge
 
-REMEMBER = 250_000
+#: Parts and words a worker remembers, and the longest of them.
+REMEMBER, LONGEST = 250_000, 256
 SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # words that need no Unicode rules beyond one-to-one lower case
 SAFE_TEXT = re.compile("[ \n\r\t!-~À-ÖØ-öø-ÿ]*")
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \n\r\ta-zß-öø-ÿ0-9]+")
@@ -101,7 +102,11 @@ class WordEncoder:
         if new:
             self._learn(list(new))
         part, word = self.parts.__getitem__, self.words.__getitem__
-        return [b"".join(map(part if ok else word, c)) for c, ok in zip(cut, plain, strict=True)]
+        made = [b"".join(map(part if ok else word, c)) for c, ok in zip(cut, plain, strict=True)]
+        for held in (self.parts, self.words):  # long ones are kept for this call only
+            for w in [w for w in reversed(held) if len(w) > LONGEST] if any(len(w) > LONGEST for c in cut for w in c) else ():
+                del held[w]
+        return made
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -4,12 +4,19 @@ Every sequence applies its lowest-ranked adjacent pair in the same vector step.
 sequence are taken from the left. All occurrences of a pair go in one step unless the merged symbol
 could make a pair of the same or a lower rank; then only the leftmost goes, so that the order is the
 sequential one in every case.
+
+A step reads all symbols of the sequences that are not done, so sequences of more than LONG symbols are
+merged one by one, each step touching only the places of its rank and their neighbours (``merge_long``).
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
+#: Symbols of the longest sequence that is merged together with others.
+LONG = 1024
 NEVER = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,10 +71,81 @@ class PairTable:
         return out
 
 
+def merge_long(symbols: np.ndarray, table: PairTable) -> np.ndarray:
+    """The surviving symbols of one sequence.
+
+    Places wait under the rank of the pair that begins there; the lowest rank is taken with all its places,
+    from left to right. If one of the merges makes a pair of the same or a lower rank, those to
+    the right of it wait on. Each merge costs its own place and two neighbours, whatever the length.
+    """
+    n = len(symbols)
+    sym = np.append(np.asarray(symbols, np.int32), np.int32(-1))
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    entry, rank = np.full(n + 1, table.none, np.int64), np.full(n + 1, NEVER, np.int32)
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def place(at: np.ndarray) -> None:
+        at = at[after[at] < n] if len(at) else at
+        entry[at] = table.find(sym[at], sym[after[at]])
+        rank[at] = table.rank[entry[at]]
+        at = at[rank[at] != NEVER]
+        at = at[np.argsort(rank[at], kind="stable")]
+        own = rank[at]
+        for some in np.split(at, np.flatnonzero(own[1:] != own[:-1]) + 1) if len(at) else ():
+            wait(int(rank[some[0]]), some)
+
+    def wait(one: int, at: np.ndarray) -> None:
+        if one in waiting:
+            waiting[one].append(at)
+        else:
+            waiting[one] = [at]
+            heapq.heappush(heap, one)
+
+    place(np.arange(n))
+    while heap:
+        now = heapq.heappop(heap)
+        at = np.concatenate(waiting.pop(now))
+        at = np.unique(at[rank[at] == now])
+        if not len(at):
+            continue
+        if len(at) > 1:  # of overlapping pairs, every other one
+            fresh = np.append(True, after[at[:-1]] != at[1:])
+            step = np.arange(len(at))
+            at = at[(step - np.maximum.accumulate(np.where(fresh, step, 0))) & 1 == 0]
+        second, made = after[at], table.merged[entry[at]]
+        third = after[second]
+        if table.single[now] and len(at) > 1:
+            last = np.append(-1, second[:-1])
+            left = np.where(before[at] == last, np.append(made[:1], made[:-1]), sym[before[at]])
+            low = (before[at] >= 0) & (table.rank[table.find(left, made)] <= now) | (third < n) & (table.rank[table.find(made, sym[third])] <= now)
+            if low.any():
+                stop = int(low.argmax()) + 1
+                wait(now, at[stop:])
+                at, second, third, made = at[:stop], second[:stop], third[:stop], made[:stop]
+        sym[at] = made
+        sym[second], rank[second] = -1, NEVER
+        after[at], before[third] = third, at
+        rank[at] = NEVER
+        left = before[at]
+        place(np.unique(np.append(at, left[left >= 0])))
+    return sym[:n][sym[:n] >= 0]
+
+
 def merge(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge every sequence to its end; returns the surviving symbols and each sequence's count."""
-    symbols = np.asarray(symbols, np.int32).copy()
-    lengths = np.asarray(lengths, np.int64).copy()
+    symbols, lengths = np.asarray(symbols, np.int32), np.asarray(lengths, np.int64)
+    long = lengths > LONG
+    if not long.any():
+        return _merge(symbols, lengths, table)
+    short, counts = _merge(symbols[np.repeat(~long, lengths)], lengths[~long], table)
+    ends, rest = np.cumsum(lengths), iter(np.split(short, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+    parts = [merge_long(symbols[end - n:end], table) if n > LONG else next(rest) for end, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def _merge(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    symbols, lengths = symbols.copy(), lengths.copy()
     number = np.flatnonzero(lengths)
     counts = np.zeros(len(lengths), np.int64)
     lengths = lengths[number]

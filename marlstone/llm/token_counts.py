@@ -18,8 +18,8 @@ from .ranked_merge import PairTable, merge
 
 MARK = "▁"  # stands for a space in the vocabulary
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
-#: Pre-tokens a worker remembers, and characters merged at once.
-REMEMBER, AT_ONCE = 400_000, 1 << 18
+#: Pre-tokens a worker remembers, the longest of them, and characters merged at once.
+REMEMBER, LONGEST, AT_ONCE = 400_000, 256, 1 << 18
 
 
 class PieceCounter:
@@ -57,8 +57,9 @@ class PieceCounter:
                     self.weight[k] = len(s.encode())
         self.known: dict[str, int] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        begin, held = 0, 0
+    def _learn(self, words: list[str]) -> dict[str, int]:
+        """Tokens of the words that are too long to be remembered; the others' are put down in ``known``."""
+        begin, held, once = 0, 0, {}
         for i in range(len(words) + 1):
             if i == len(words) or held > AT_ONCE:
                 part = words[begin:i]
@@ -68,10 +69,12 @@ class PieceCounter:
                     left, counts = merge(self.symbol[code], lengths, self.table)
                     owner = np.repeat(np.arange(len(part)), counts)
                     totals = np.bincount(owner, weights=self.weight[left], minlength=len(part)).astype(np.int64)
-                    self.known.update(zip(part, totals.tolist(), strict=True))
+                    for word, n in zip(part, totals.tolist(), strict=True):
+                        (self.known if len(word) <= LONGEST else once)[word] = n
                 begin, held = i, 0
             if i < len(words):
                 held += len(words[i])
+        return once
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; the empty text has none."""
@@ -79,10 +82,9 @@ class PieceCounter:
             self.known = {}
         cut = [RUN.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*cut).difference(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [sum(map(get, words)) for words in cut]
+        once = self._learn(list(new)) if new else {}
+        get, known = once.get, self.known
+        return [sum(known[w] if w in known else get(w) for w in words) for words in cut] if once else [sum(map(known.__getitem__, words)) for words in cut]
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -104,7 +106,8 @@ def counter(model: str) -> PieceCounter:
 
 
 def token_counts(documents: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
-    """Tokens of every whole text: (doc_id, n_bytes, n_tokens, over_limit).
+    """Tokens of every whole text: (doc_id, n_bytes, n_tokens, over_limit). A word without blanks of any length is
+    merged in time that goes with its length.
 
     Null or empty text: 0 bytes, 0 tokens. A null doc_id stays null; repeated rows give repeated
     results; other columns are not read. No shuffle: one pass over the two columns of the scan.
