@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
-#: Errors allowed per character of an item; shorter items than SHORT must occur exactly.
+#: Errors allowed per character of an item, and the least length of an item that is allowed any: a few
+#: words with a letter changed are no evidence of a leak.
 ERROR_RATE, SHORT = 0.05, 32
 #: Bytes of item text in one broadcast; a larger benchmark is scanned in so many blocks.
 BLOCK_BYTES = 8 << 20
@@ -23,8 +25,9 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def budget(n: int, rate: float = ERROR_RATE) -> int:
-    return int(n * rate) if n >= SHORT else 0
+def budget(n: int, rate: float = ERROR_RATE, short: int = SHORT) -> int:
+    """Errors allowed in an item of ``n`` characters; one of fewer than ``short`` must occur exactly."""
+    return int(n * rate) if n >= short else 0
 
 
 def cut(text: str, parts: int) -> list[tuple[int, str]]:
@@ -66,11 +69,11 @@ def distance(pattern: str, text: str) -> int:
 class Matcher:
     """Finds items in normalised texts within their error budgets."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, short: int = SHORT):
         import ahocorasick
 
         self.items = [(i, normal(t)) for i, t in items]
-        self.errors = [budget(len(t), rate) for _, t in self.items]
+        self.errors = [budget(len(t), rate, short) for _, t in self.items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.items):
             for offset, piece in cut(t, self.errors[k] + 1) if t else ():
@@ -109,6 +112,18 @@ class Matcher:
         return sorted(found)
 
 
+_matchers: dict[tuple, Matcher] = {}
+
+
+def _matcher(shared, rate: float, short: int) -> Matcher:
+    """The worker's matcher of a broadcast block, built once and kept until another block comes."""
+    key = shared._path, rate, short
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(shared.value, rate, short)
+    return _matchers[key]
+
+
 def _blocks(benchmark: DataFrame, most: int):
     """Lists of (item_id, text) whose texts have at most ``most`` bytes (a longer one stands alone)."""
     block, held = [], 0
@@ -122,44 +137,50 @@ def _blocks(benchmark: DataFrame, most: int):
     yield block
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, short: int = SHORT) -> DataFrame:
     """Test items in every whole text: (doc_id, contaminated, item_ids, distances).
 
     The benchmark is the query set: it is broadcast in blocks of bounded size, and each block scans
     all documents; rows are only passed on, never shuffled. Null or empty text holds nothing; null or
-    blank items match nothing; a null doc_id stays null; repeated rows give repeated results. An item
-    of fewer than SHORT characters must occur exactly. item_ids rise; distances go with them.
+    blank items match nothing; a null doc_id stays null; repeated rows give repeated results; an empty
+    table gives no rows. An item of fewer than ``short`` characters must occur exactly. item_ids rise;
+    distances go with them; of rows that share an item_id, each distinct text is an item.
     """
-    out = _scan(documents.select("doc_id", "text"), benchmark, rate, block_bytes)
-    return out.selectExpr("doc_id", "size(_items) > 0 as contaminated", "_items as item_ids", "_distances as distances")
+    out, items, distances = _scan(documents.select("doc_id", "text"), benchmark, rate, block_bytes, short)
+    return out.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.col(items).alias("item_ids"), F.col(distances).alias("distances"))
 
 
-def _scan(documents: DataFrame, benchmark: DataFrame, rate: float, block_bytes: int) -> DataFrame:
+def _scan(documents: DataFrame, benchmark: DataFrame, rate: float, block_bytes: int, short: int) -> tuple[DataFrame, str, str]:
+    """The documents with two more columns, items and distances, and their names."""
     from pyspark.sql import types as T
 
     spark = documents.sparkSession
-    schema = T.StructType([*documents.schema.fields, T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_distances", T.ArrayType(T.IntegerType()))])
+    names = common.fresh(documents.columns, "items", "distances")
+    schema = T.StructType([*documents.schema.fields, T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.ArrayType(T.IntegerType()))])
     first = True
     for block in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared, first=first):
-            matcher = Matcher(shared.value, rate)
+            matcher = _matcher(shared, rate, short)
             for batch in common.steps(batches):
                 found = [matcher.find(t) for t in common.texts(batch)]
                 items, distances = [[i for i, _ in f] for f in found], [[d for _, d in f] for f in found]
+                own = batch.columns if first else batch.columns[:-2]
                 if not first:
-                    items = [a + b for a, b in zip(batch.column(batch.num_columns - 2).to_pylist(), items, strict=True)]
-                    distances = [a + b for a, b in zip(batch.column(batch.num_columns - 1).to_pylist(), distances, strict=True)]
-                keep = batch.columns if first else batch.columns[:-2]
-                names = batch.schema.names if first else batch.schema.names[:-2]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(items, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.int32()))], [*names, "_items", "_distances"])
+                    both = [sorted(zip([*a, *i], [*b, *d], strict=True)) for a, b, i, d in zip(batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist(), items, distances, strict=True)]
+                    items, distances = [[i for i, _ in f] for f in both], [[d for _, d in f] for f in both]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(items, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.int32()))], [*batch.schema.names[:len(own)], *names])
 
         documents = documents.mapInArrow(run, schema)
         first = False
-    return documents
+    return documents, *names
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``documents`` without those that hold a test item; all columns stay."""
-    return _scan(documents, benchmark, rate, block_bytes).where("size(_items) = 0").select(*documents.columns)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, short: int = SHORT) -> DataFrame:
+    """``documents`` without those that hold a test item, as ``leaks`` finds them; all columns stay, whatever
+    their names. Null and empty texts stay, repeated rows stay or go together, a null doc_id is judged by its
+    text, and an empty table on either side is no error."""
+    columns = documents.columns
+    out, items, _ = _scan(documents, benchmark, rate, block_bytes, short)
+    return out.where(F.size(items) == 0).select(*map(common.quoted, columns))
