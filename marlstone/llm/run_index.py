@@ -156,7 +156,7 @@ class RunIndex:
         there = np.append(self.has[words(texts) * _MIX >> self.shift], np.zeros(8, bool))  # the last: an end
         over = ends[:-1]
         for k in range(1, 8):
-            there[np.maximum(over - k, 0)] = False  # these would cross into the next text
+            there[over[over >= k] - k] = False  # these would cross into the next text
         edge = np.flatnonzero(np.append(there[0], there[1:] != there[:-1]))
         begins, ends = edge[::2], edge[1::2] + 7
         keep = ends - begins >= self.depth
