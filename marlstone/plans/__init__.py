@@ -1,5 +1,5 @@
 """Query plans of the library's own operators; importing this package registers them."""
 
-from marlstone.plans import aggregates, kernels, ordered, planner, profiling, ranking, scalars, sets, stateful
+from marlstone.plans import aggregates, gates, kernels, ordered, planner, profiling, ranking, scalars, sets, similarity, stateful
 
-__all__ = ["aggregates", "kernels", "ordered", "planner", "profiling", "ranking", "scalars", "sets", "stateful"]
+__all__ = ["aggregates", "gates", "kernels", "ordered", "planner", "profiling", "ranking", "scalars", "sets", "similarity", "stateful"]

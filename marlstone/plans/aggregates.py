@@ -308,24 +308,6 @@ def bench_compare(d):
     return f"with {_systems(d)} select x.metric, round(x.mean, 6) as base, round(y.mean, 6) as cand, round(y.mean / nullif(x.mean, 0) - 1, 6) as change from cells x join cells y on x.metric = y.metric and x.sys = 'a' and y.sys = 'b'"
 
 
-@sql_query("regression_gate")
-def regression_gate(d):
-    """Worse by more than max(z 1.25 sqrt of both relative variances over n, floor) fails."""
-    return f"""
-with {_systems(d)}, j as (select x.metric, x.mean as base, y.mean as cand, x.n as nb, y.n as nc, x.sd / x.mean as rb, y.sd / y.mean as rc from cells x join cells y on x.metric = y.metric and x.sys = 'a' and y.sys = 'b'),
-b as (select metric, (base - cand) / base as worse, greatest(1.96 * 1.25 * sqrt(rb * rb / nb + rc * rc / nc), 0.003) as band from j)
-select metric, round(worse, 6) as worse, round(band, 6) as band, worse > band as regressed from b"""
-
-
-@sql_query("win_rule")
-def win_rule(d):
-    """A win needs at least four paired repeats here, ranges that do not overlap, and a median margin of 10%."""
-    return f"""
-with {_systems(d)} select x.metric, least(x.n, y.n) as pairs, x.lo > y.hi as a_above, y.lo > x.hi as b_above,
-  case when least(x.n, y.n) < 4 then 'too few' when x.lo > y.hi and x.med >= 1.1 * y.med then 'a' when y.lo > x.hi and y.med >= 1.1 * x.med then 'b' else 'tie' end as winner
-from cells x join cells y on x.metric = y.metric and x.sys = 'a' and y.sys = 'b'"""
-
-
 @sql_query("route_decision")
 def route_decision(d):
     """A class is routed anew if its gain is at least G and no member loses more than W."""

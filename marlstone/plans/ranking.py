@@ -71,15 +71,6 @@ z as (select row_id, token_id, k, logit - top - ln(sum(exp(logit - top)) over (p
 select row_id, token_id, k, round(lp, 6) as logprob from z where k <= 5"""
 
 
-@sql_query("draft_accept")
-def draft_accept(d):
-    """A draft token is kept with its probability; else the best of the rest stands in."""
-    return f"""
-with {probs(d)}, t as (select row_id, token_id, p, row_id % 64 as draft, (row_id * 104729 % 1000) / 1000.0 as u, row_number() over (partition by row_id order by case when token_id = row_id % 64 then -1 else p end desc, token_id) as k from p)
-select row_id, max(draft) as draft, round(max(case when token_id = draft then p end), 6) as p_draft, max(case when token_id = draft then p end) >= max(u) as accepted,
-  case when max(case when token_id = draft then p end) >= max(u) then max(draft) else max(case when k = 1 then token_id end) end as token_id from t group by row_id"""
-
-
 @sql_query("router_topk", longs="k")
 def router_topk(d):
     """Sigmoid scores, a bias that only picks, the picked weights renormalised and scaled."""

@@ -4,78 +4,6 @@ from marlstone.functions.dialect import sql_query
 from marlstone.plans.ordered import CHAIN, depths
 
 
-def prints(d, every: int = 16) -> str:
-    """Sampled fingerprints of documents: one 5-word shingle in ``every``, by hash."""
-    h = d.hash("shingle")
-    return f"fp as (select doc_id, h from (select doc_id, {h} as h from {d.shingles('documents', 'doc_id', 5)} s) t where h % {every} = 0)"
-
-
-def scored(d) -> str:
-    """Shared prints weigh 1 / holders; prints with more than eight holders are dropped, as in an index of eight places."""
-    return prints(d) + """,
-n as (select h, count(*) as holders from fp group by h having count(*) between 2 and 8),
-own as (select doc_id, count(*) as m from fp group by doc_id),
-sc as (select a.doc_id as probe, b.doc_id as cand, sum(1.0 / holders) as score, count(*) as shared from fp a join n on a.h = n.h join fp b on a.h = b.h and b.doc_id < a.doc_id group by a.doc_id, b.doc_id),
-sh as (select probe, cand, score, shared, shared / cast(m as double) as share from sc join own on sc.probe = own.doc_id)"""
-
-
-@sql_query("similar_documents")
-def similar_documents(d):
-    """Earlier documents that share fingerprints, with scores."""
-    return f"with {scored(d)} select probe, cand, shared, round(cast(score as double), 6) as score from sh"
-
-
-@sql_query("base_candidates")
-def base_candidates(d):
-    """Within 5% of the best score the most recent; a second with at least half of it; none below share 0.02."""
-    return f"""
-with {scored(d)}, m as (select probe, cand, cast(score as double) as score, share, max(cast(score as double)) over (partition by probe) as top from sh where share >= 0.02),
-f as (select probe, max(cand) as best from m where round(score - 0.95 * top, 9) >= 0 group by probe),
-s as (select m.probe, m.cand, row_number() over (partition by m.probe order by round(score, 9) desc, m.cand desc) as k from m join f on m.probe = f.probe and m.cand <> f.best where round(score - 0.5 * top, 9) >= 0)
-select f.probe, f.best, s.cand as second from f left join s on f.probe = s.probe and s.k = 1"""
-
-
-@sql_query("family_assign")
-def family_assign(d):
-    """A document joins its best base's family when at least 0.98 of its prints are held there."""
-    return f"""
-with {scored(d)}, b as (select probe, cand, share, row_number() over (partition by probe order by round(cast(score as double), 9) desc, cand desc) as k from sh)
-select x.doc_id, case when b.share >= 0.98 then b.cand else x.doc_id end as family from documents x left join b on x.doc_id = b.probe and b.k = 1"""
-
-
-@sql_query("near_duplicates")
-def near_duplicates(d):
-    """Pairs that share at least half of the probe's prints."""
-    return f"with {scored(d)} select probe, cand, shared from sh where share >= 0.5"
-
-
-@sql_query("anchors")
-def anchors(d):
-    """One 4-word shingle in 64 by hash, those of one repeated word left out."""
-    w = d.hash("shingle")
-    return f"select doc_id, h from (select doc_id, shingle, {w} as h from {d.shingles('documents', 'doc_id', 4)} s) t where h % 64 = 0"
-
-
-@sql_query("region_window")
-def region_window(d):
-    """The eight neighbouring bins of a base document that hold most anchor hits."""
-    return f"""
-with a as (select doc_id, pos, {d.hash('word')} % 1000003 as h from {d.doc_words} w where length(word) >= 7),
-u as (select h, min(doc_id) as base, count(distinct doc_id) as holders from a group by h having count(distinct doc_id) between 2 and 4),
-b as (select u.base, {d.idiv('a.pos', '16')} as bin, count(*) as n from a join u on a.h = u.h and a.doc_id = u.base group by u.base, {d.idiv('a.pos', '16')}),
-w as (select base, bin, sum(n) over (partition by base order by bin range between current row and 7 following) as mass from b)
-select base, bin, cast(mass as bigint) as mass from (select base, bin, mass, row_number() over (partition by base order by mass desc, bin) as k from w) t where k = 1"""
-
-
-@sql_query("repeated_spans")
-def repeated_spans(d):
-    """32-word spans that an earlier document has: rows of (document, places)."""
-    return f"""
-with s as (select doc_id, {d.hash('shingle')} as h from {d.shingles('documents', 'doc_id', 32)} s),
-f as (select h, min(doc_id) as first_doc, count(*) as n from s group by h having count(*) > 1)
-select s.doc_id, count(*) as spans, min(f.first_doc) as earliest from s join f on s.h = f.h and f.first_doc < s.doc_id group by s.doc_id"""
-
-
 @sql_query("layout_join")
 def layout_join(d):
     """Objects of two versions with the same name, width and size."""
@@ -127,15 +55,6 @@ def union_unexpired(d):
     return "select c_custkey as id, 'member' as kind from customer where c_nationkey < 12 union all select c_custkey, 'previous' from customer where c_nationkey >= 12 and c_acctbal > 5000"
 
 
-@sql_query("decontaminate_docs")
-def decontaminate_docs(d):
-    """Documents that share a 32-token run with evaluation text are dropped; here, the ones that stay."""
-    return f"""
-with b as (select distinct shingle from {d.shingles('benchmark', 'item_id', 32)} s),
-hit as (select distinct s.doc_id from {d.shingles('documents', 'doc_id', 32)} s join b on s.shingle = b.shingle)
-select x.doc_id from documents x left join hit on x.doc_id = hit.doc_id where hit.doc_id is null"""
-
-
 @sql_query("duplicate_keys")
 def duplicate_keys(d):
     """Keys that occur more than once."""
