@@ -62,12 +62,6 @@ def sql_dump_tuples(d):
     return f"select n_nationkey, pos, cast({d.get('tup', '[(]([0-9]+),')} as bigint) as a, cast({d.get('tup', ',([0-9]+)[)]')} as bigint) as b from {rows} z"
 
 
-@sql_query("json_paths_props")
-def json_paths_props(d):
-    """Scalars of JSON lines with their key paths."""
-    return f"select path, count(*) as n, count(distinct v) as kinds, min(v) as lo, max(v) as hi from (select 'k' as path, {d.json('props', 'k')} as v from events) t where v is not null group by path"
-
-
 @sql_query("log_templates")
 def log_templates(d):
     """Lines with every token that holds a digit made a hole; templates by count."""
@@ -78,26 +72,40 @@ def log_templates(d):
 
 def _texts(d) -> str:
     s = (lambda x: f"cast({x} as string)") if d.spark else (lambda x: f"cast({x} as varchar)")
-    return f"(select 'event_id' as col, event_id as at, {s('event_id')} as v from events union all select 'user_id', event_id, {s('user_id')} from events union all select 'event_type', event_id, event_type from events union all select 'props', event_id, props from events)"
+    t = "date_format(ts, 'yyyy-MM-dd HH:mm:ss')" if d.spark else "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+    return f"(select 'event_id' as col, event_id as at, {s('event_id')} as v from events union all select 'user_id', event_id, {s('user_id')} from events union all select 'event_type', event_id, event_type from events union all select 'props', event_id, props from events union all select 'value', event_id, {s('value')} from events where value is not null union all select 'ts', event_id, {t} from events union all select 'day', event_id, concat(substr({t}, 1, 10), 'T00:00:00Z') from events)"
 
 
 INT = "^(0|-?[1-9][0-9]{0,17})$"
 DEC = "^(0|-?[1-9][0-9]{0,8}|-?0)[.][0-9]{1,9}$"
 
 
+_DAY, _HOUR = "(0[1-9]|[12][0-9]|3[01])", "([01][0-9]|2[0-3])(:[0-5][0-9]){2}"
+_MONTH, _DATE = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)", f"[0-9]{{4}}-(0[1-9]|1[0-2])-{_DAY}"
+#: The layouts of times; a column of times has one of them in all rows.
+TIMES = (f"@{_DAY}/{_MONTH}/[0-9]{{4}}:{_HOUR}", f"{_DATE}T{_HOUR}Z", f"{_DATE} {_HOUR}", f"{_DAY}/{_MONTH}/[0-9]{{4}}:{_HOUR}",
+         f"{_DATE} {_HOUR}[.][0-9]{{6}}", f"{_DATE}T{_HOUR}[.][0-9]{{3}}Z", f"{_DATE}T{_HOUR}[.][0-9]{{6}}Z", f"{_DATE} {_HOUR}[.][0-9]{{3}}")
+
+
+def _time(d) -> str:
+    """Whether all values are times of one layout (@ stands for the opening bracket)."""
+    bracket = "\\\\[" if d.spark else "\\["
+    return "greatest(" + ", ".join("sum(case when {} then 1 else 0 end)".format(d.like("v", f"^{p}$".replace("@", bracket))) for p in TIMES) + ") = count(*)"
+
+
 @sql_query("infer_types_all")
 def infer_types_all(d):
-    """INT if all are canonical; TIME, DICT8, DICT and DEC by share and count of distinct values; else TEXT."""
+    """INT if all are canonical, TIME if all have one layout; DICT8, DICT and DEC by share and count of distinct values; else TEXT."""
     return f"""
-select col, count(*) as n, case when sum(case when {d.like('v', INT)} then 0 else 1 end) = 0 then 'INT' when count(distinct v) <= count(*) / 3.0 + 1 and count(distinct v) <= 256 then 'DICT8'
+select col, count(*) as n, case when sum(case when {d.like('v', INT)} then 0 else 1 end) = 0 then 'INT' when {_time(d)} then 'TIME' when count(distinct v) <= count(*) / 3.0 + 1 and count(distinct v) <= 256 then 'DICT8'
   when count(distinct v) <= count(*) / 3.0 + 1 then 'DICT' when sum(case when {d.like('v', DEC)} then 1 else 0 end) >= 0.9 * count(*) then 'DEC' else 'TEXT' end as kind from {_texts(d)} t group by col"""
 
 
 @sql_query("infer_types_tolerant")
 def infer_types_tolerant(d):
-    """As above with a tenth of exceptions for integers, and CONST for one value."""
+    """As above, times too, with a tenth of exceptions for integers, and CONST for one value."""
     return f"""
-select col, count(*) as n, case when sum(case when {d.like('v', INT)} then 1 else 0 end) >= 0.9 * count(*) then 'INT' when count(distinct v) = 1 then 'CONST' when count(distinct v) <= count(*) / 3.0 + 1 then 'DICT'
+select col, count(*) as n, case when sum(case when {d.like('v', INT)} then 1 else 0 end) >= 0.9 * count(*) then 'INT' when count(distinct v) = 1 then 'CONST' when {_time(d)} then 'TIME' when count(distinct v) <= count(*) / 3.0 + 1 then 'DICT'
   when sum(case when {d.like('v', DEC)} then 1 else 0 end) >= 0.9 * count(*) then 'DEC' else 'TEXT' end as kind from {_texts(d)} t group by col"""
 
 
@@ -107,10 +115,13 @@ def shape_dictionary(d):
     return f"select col, v, n, k from (select col, v, n, row_number() over (partition by col order by n desc, v) as k from (select col, v, count(*) as n from {_texts(d)} t group by col, v) c) r where k <= 4096"
 
 
-@sql_query("decimal_scale")
+@sql_query("decimal_scale", longs="places")
 def decimal_scale(d):
     """Decimals as whole numbers at the column's largest number of places."""
-    return "select l_orderkey, l_linenumber, l_discount, cast(round(l_discount * 100) as bigint) as scaled, 2 as places from lineitem"
+    return """
+with k as (select n, cast(power(10, n) as bigint) as p from (select 0 as n union all select 1 union all select 2 union all select 3 union all select 4) t),
+m as (select min(n) as places from (select n from lineitem cross join k group by n, p having max(abs(l_discount * p - round(l_discount * p))) < 1e-6) x)
+select l_orderkey, l_linenumber, l_discount, cast(round(l_discount * power(10, m.places)) as bigint) as scaled, m.places from lineitem cross join m"""
 
 
 @sql_query("byte_planes")

@@ -9,16 +9,6 @@ def days_from_civil(d):
     return f"select o_orderkey, {d.day('o_orderdate')} as days, cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m, cast(day(o_orderdate) as bigint) as dd from orders"
 
 
-@sql_query("time_roundtrip")
-def time_roundtrip(d):
-    """Whether a rendered time, parsed and rendered again, gives the same text."""
-    if d.spark:
-        text, back = "date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "date_format(to_timestamp(t, 'yyyy-MM-dd HH:mm:ss'), 'yyyy-MM-dd HH:mm:ss')"
-    else:
-        text, back = "strftime(ts, '%Y-%m-%d %H:%M:%S')", "strftime(strptime(t, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')"
-    return f"select event_id, t, {back} = t as same from (select event_id, {text} as t from events) x"
-
-
 @sql_query("strftime_events")
 def strftime_events(d):
     """The common format directives."""
@@ -41,27 +31,6 @@ def varint_len(d):
     return f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, {size('l_partkey')} as n, {size('2 * abs(l_partkey - l_suppkey)')} as z from lineitem"
 
 
-@sql_query("checksums")
-def checksums(d):
-    """SHA-256 of the text."""
-    return f"select doc_id, {d.sha('text')} as sha256 from documents"
-
-
-@sql_query("canonical_digest")
-def canonical_digest(d):
-    """Digest of a row as JSON with sorted keys, without the digest's own field."""
-    s = (lambda x: f"cast({x} as string)") if d.spark else (lambda x: f"cast({x} as varchar)")
-    doc = f"""concat('{{"event_id":', {s('event_id')}, ',"event_type":"', event_type, '","user_id":', {s('user_id')}, '}}')"""
-    return f"select event_id, {d.sha(doc)} as digest from events"
-
-
-@sql_query("json_strict")
-def json_strict(d):
-    """Objects that parse, with one key once."""
-    ok = "get_json_object(props, '$') is not null" if d.spark else "json_valid(props)"
-    return f"select event_id, {ok} and {d.like('props', '^[{][^{}]*[}]$')} as strict, {d.json('props', 'k')} as k from events"
-
-
 @sql_query("last_number")
 def last_number(d):
     """The last number in a text, commas dropped, a trailing dot cut."""
@@ -125,45 +94,12 @@ def checked_sum(d):
     return "select o_custkey, case when sum(cast(o_orderkey as decimal(38, 0)) * 1000000000000000) > 9223372036854775807 then null else cast(sum(cast(o_orderkey as decimal(38, 0)) * 1000000000000000) as bigint) end as total from orders group by o_custkey"
 
 
-@sql_query("redact_documents", longs="n")
-def redact_documents(d):
-    """Home paths, URL credentials, well-known prefixes, bearer tokens and keyed values masked."""
-    x = "coalesce(text, '')"
-    for p, r in (("/(home|Users)/[A-Za-z0-9_.-]+", "/$1/***"), ("://[^/@ :]+:[^/@ ]+@", "://***@"), ("(AKIA|ghp_|sk-)[A-Za-z0-9]{8,}", "$1***"),
-                 ("([Bb]earer|[Bb]asic) [A-Za-z0-9+/=._-]{8,}", "$1 ***"), ("(token|secret|password|api_key)( *[=:] *)[^ ]+", "$1$2***")):
-        x = d.sub(x, p, r)
-    return f"select doc_id, {d.sha(x)} as digest, length({x}) as n from documents"
-
-
-@sql_query("url_host_public")
-def url_host_public(d):
-    """Whether an address is outside the private and reserved ranges."""
-    return f"""
-with a as (select user_id, event_id, user_id % 224 as a, event_id % 256 as b from events)
-select event_id, a, b, not (a in (0, 10, 127) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) or (a = 100 and b between 64 and 127) or (a = 198 and b in (18, 19)) or a >= 224) as public from a"""
-
-
 @sql_query("constraint_regex_filter")
 def constraint_regex_filter(d):
     """Texts that a pattern, a choice or a JSON shape admits."""
     return f"select event_id, {d.like('props', '^[{]\"[a-z]+\": [0-9]+[}]$')} as shape, event_type in ('view', 'click') as choice from events"
 
 
-@sql_query("typed_args")
-def typed_args(d):
-    """Arguments coerced by their declared type; null is literal, what does not fit stays text."""
-    k = d.json("props", "k")
-    big = "bigint"
-    return f"select event_id, case when {k} = 'null' then null when {d.like(f'coalesce({k}, {chr(39)}{chr(39)})', '^-?[0-9]{1,15}$')} then cast({k} as {big}) end as k_int, {k} as k_text from events"
-
-
-@sql_query("tool_calls_extract")
-def tool_calls_extract(d):
-    """Calls in tags: name and body of each."""
-    body = "concat(text, '<tool_call>{\"name\": \"f', role, '\"}</tool_call>')"
-    return f"select conv_id, turn, {d.get('t', '<tool_call>[{]\"name\": \"([a-z]+)\"[}]</tool_call>')} as name, {d.size(d.all('t', '<tool_call>[^<]*</tool_call>'))} as calls from (select conv_id, turn, {body} as t from conversations) x"
-
-
 @sql_query("bf16_round")
 def bf16_round(d):
     """Prices rounded to eight significant bits, ties to even."""
