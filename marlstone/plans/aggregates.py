@@ -2,30 +2,6 @@
 
 from marlstone.functions.dialect import sql_query
 
-NEAREST = "cast(ceil(cast(count(*) as double) * {p}) as int)"
-
-
-@sql_query("outcome_latency")
-def outcome_latency(d):
-    """Outcome counts over a fixed domain, zero-filled, with nearest-rank tails only where there are enough rows."""
-    at = lambda p: d.at("v", f"ceil(n * {p})")
-    return f"""
-with g as (select outcome, count(*) as n, {d.sorted_list('duration_ms')} as v, min(duration_ms) as lo, max(duration_ms) as hi from {d.requests} r where duration_ms is not null group by outcome),
-dom as (select 'view' as outcome union all select 'click' union all select 'purchase' union all select 'signup' union all select 'error' union all select 'timeout')
-select dom.outcome, coalesce(n, 0) as n, round(lo, 6) as min_ms, round(hi, 6) as max_ms,
-  round({d.at('v', 'ceil(n * 0.5)')}, 6) as p50_ms, case when n >= 20 then round({at('0.95')}, 6) end as p95_ms, case when n >= 100 then round({at('0.99')}, 6) end as p99_ms
-from dom left join g on dom.outcome = g.outcome"""
-
-
-@sql_query("summary_gated_tails")
-def summary_gated_tails(d):
-    """n, min, midpoint median, max; p95 from 20 values, p99 from 100, nearest rank."""
-    mid = f"({d.at('v', 'floor((n + 1) / 2.0)')} + {d.at('v', 'floor((n + 2) / 2.0)')}) / 2"
-    return f"""
-with g as (select user_id, count(*) as n, {d.sorted_list('value')} as v from events where value is not null group by user_id)
-select user_id, n, round({d.at('v', '1')}, 6) as lo, round({mid}, 6) as median, round({d.at('v', 'n')}, 6) as hi,
-  case when n >= 20 then round({d.at('v', 'ceil(n * 0.95)')}, 6) end as p95, case when n >= 100 then round({d.at('v', 'ceil(n * 0.99)')}, 6) end as p99 from g"""
-
 
 @sql_query("run_stats")
 def run_stats(d):
@@ -35,14 +11,6 @@ select event_type as metric, user_id % 10 as system, round(avg(value), 6) as mea
   round(median(value), 6) as median, round(min(value), 6) as lo, round(max(value), 6) as hi, count(*) as runs from events where value is not null group by event_type, user_id % 10"""
 
 
-@sql_query("percentile_rounded")
-def percentile_rounded(d):
-    """Element round((n - 1) p) of the sorted values."""
-    return f"""
-with g as (select event_type, count(*) as n, {d.sorted_list('value')} as v from events where value is not null group by event_type)
-select event_type, round({d.at('v', 'floor((n - 1) * 0.5 + 0.5) + 1')}, 6) as p50, round({d.at('v', 'floor((n - 1) * 0.9 + 0.5) + 1')}, 6) as p90 from g"""
-
-
 @sql_query("quantile_linear_int")
 def quantile_linear_int(d):
     """Linear interpolation, cut to a whole number."""

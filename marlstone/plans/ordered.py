@@ -11,24 +11,6 @@ with x as (select l_orderkey, l_linenumber, l_partkey, l_partkey - coalesce(lag(
 select l_orderkey, l_linenumber, l_partkey, delta, case when delta >= 0 then 2 * delta else -2 * delta - 1 end as zigzag from x"""
 
 
-@sql_query("first_seen_id")
-def first_seen_id(d):
-    """Dictionary ids by first appearance."""
-    return """
-with f as (select user_id, min(event_id) as first_at from events group by user_id)
-select user_id, first_at, row_number() over (order by first_at) - 1 as id from f"""
-
-
-@sql_query("cumulative_histogram")
-def cumulative_histogram(d):
-    """Counts up to and including each bound, the unbounded one last."""
-    return """
-with b as (select 1.0 as le union all select 5.0 union all select 10.0 union all select 50.0 union all select 100.0 union all select 1e18),
-h as (select event_type, le, count(*) as n from (select event_type, min(le) as le, event_id from events join b on value <= le where value is not null group by event_type, event_id) t group by event_type, le),
-k as (select e.event_type, b.le from (select distinct event_type from events) e cross join b)
-select k.event_type, cast(k.le as double) as le, cast(sum(coalesce(h.n, 0)) over (partition by k.event_type order by k.le rows between unbounded preceding and current row) as bigint) as n from k left join h on k.event_type = h.event_type and k.le = h.le"""
-
-
 @sql_query("prefix_bytes")
 def prefix_bytes(d):
     """Running sums of layer sizes."""
@@ -47,12 +29,6 @@ def last_n_per_user(d):
     return "select user_id, event_id, k from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) t where k <= 30"
 
 
-@sql_query("rolling_2min")
-def rolling_2min(d):
-    """Events of the same type in the last two minutes, this one included."""
-    return f"select event_id, count(*) over (partition by event_type order by {d.epoch_us('ts')} range between 120000000 preceding and current row) as n from events"
-
-
 @sql_query("even_windows")
 def even_windows(d):
     """Four windows of 20 words, evenly spaced: start_i = i (n - len) / (count - 1)."""
@@ -61,22 +37,6 @@ with w as (select doc_id, {d.size(d.words('text'))} as n from documents)
 select doc_id, i, {d.idiv('i * (n - 20)', '3')} as start, {d.idiv('i * (n - 20)', '3')} + 20 as stop from w cross join {d.quote(4, 't', 'i')} where n >= 20"""
 
 
-@sql_query("stride_holdout")
-def stride_holdout(d):
-    """Every third row of a source; each eighth of those is held out."""
-    return f"""
-with r as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as k from documents)
-select source, doc_id, {d.idiv('k', '3')} as turn, {d.idiv('k', '3')} % 8 = 7 as held_out from r where k % 3 = 0"""
-
-
-@sql_query("round_robin_mix", longs="turn place")
-def round_robin_mix(d):
-    """One row of each language in turn."""
-    return """
-with r as (select lang, doc_id, row_number() over (partition by lang order by doc_id) as turn from documents)
-select turn, lang, doc_id, row_number() over (partition by turn order by lang) as place from r"""
-
-
 @sql_query("chunk_tokens")
 def chunk_tokens(d):
     """Whole chunks of 128 words of each document; the rest is dropped."""
@@ -85,15 +45,6 @@ with c as (select doc_id, {d.idiv('pos', '128')} as chunk, count(*) as n, min(po
 select doc_id, chunk, start from c where n = 128"""
 
 
-@sql_query("interleave_kinds")
-def interleave_kinds(d):
-    """Chunks of two kinds in turn; the second runs backwards and starts half a chunk later."""
-    return f"""
-with t as (select user_id % 2 as kind, user_id, event_id, row_number() over (partition by user_id % 2 order by event_id) - 1 as k, count(*) over (partition by user_id % 2) as n from events),
-p as (select kind, event_id, case when kind = 0 then k else (n - 1 - k + 8) % n end as place_at from t)
-select event_id, kind, {d.idiv('place_at', '16')} * 2 + kind as slot, place_at % 16 as place from p"""
-
-
 @sql_query("config_islands")
 def config_islands(d):
     """Neighbouring rows with one setting as one interval."""

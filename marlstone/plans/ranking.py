@@ -123,16 +123,6 @@ def hash_sample(d):
     return f"select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by {d.sha(key)}, doc_id) as k from documents) t where k <= 20"
 
 
-@sql_query("topk_per_group_vs_global", longs="k overall")
-def topk_per_group_vs_global(d):
-    """The most used per group beside the most used overall."""
-    return """
-with c as (select l_linenumber as layer, l_suppkey as expert, count(*) as n from lineitem group by l_linenumber, l_suppkey),
-t as (select l_suppkey as expert, count(*) as n from lineitem group by l_suppkey),
-g as (select expert, row_number() over (order by n desc, expert) as k from t)
-select a.layer, a.expert, a.k, a.n, g.k as overall from (select layer, expert, n, row_number() over (partition by layer order by n desc, expert) as k from c) a join g on a.expert = g.expert where a.k <= 10"""
-
-
 @sql_query("dequantise_runs")
 def dequantise_runs(d):
     """(code - bias) x scale over runs of 32 with a scale from each run's largest magnitude."""

@@ -4,12 +4,6 @@ from marlstone.functions.dialect import sql_query
 from marlstone.plans.ordered import CHAIN, depths
 
 
-@sql_query("layout_join")
-def layout_join(d):
-    """Objects of two versions with the same name, width and size."""
-    return "select a.p_partkey as old_key, b.p_partkey as new_key, a.p_size from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and b.p_partkey > a.p_partkey"
-
-
 @sql_query("latest_by_name")
 def latest_by_name(d):
     """The last id of each name."""
