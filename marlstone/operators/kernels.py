@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-from collections import OrderedDict
+from bisect import insort
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -35,11 +37,35 @@ def mtf_rank(rows: DataFrame, group: str, order: list[str], value: str, size: in
     return rows.select(group, *order, value).groupBy(group).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (group, *order)) + ", rank long")
 
 
-def prefix_code_bits(counts: list[int]) -> int:
-    """Total bits of an optimal prefix code; one symbol alone takes one bit each."""
+def prefix_code_lengths(counts: list[int], limit: int | None = None) -> list[int]:
+    """Code lengths of an optimal prefix code, none above ``limit``; 0 for symbols that do not occur, and for one that is alone.
+
+    Package-merge: coins of each symbol's count are paired ``limit`` times, and each of the 2 (n - 1) cheapest
+    packages adds one to the lengths of the symbols in it.
+    """
+    used = [k for k, c in enumerate(counts) if c > 0]
+    lengths = [0] * len(counts)
+    if len(used) <= 1:
+        return lengths
+    limit = limit or len(used) - 1
+    if 1 << limit < len(used):
+        raise ValueError(f"{len(used)} symbols have no code of {limit} bits")
+    coins = sorted((counts[k], (k,)) for k in used)
+    row = coins
+    for _ in range(limit - 1):
+        pairs = [(row[i][0] + row[i + 1][0], row[i][1] + row[i + 1][1]) for i in range(0, len(row) - 1, 2)]
+        row = sorted(coins + pairs, key=lambda x: x[0])
+    for _, symbols in row[:2 * (len(used) - 1)]:
+        for k in symbols:
+            lengths[k] += 1
+    return lengths
+
+
+def prefix_code_bits(counts: list[int], limit: int | None = None) -> int:
+    """Total bits of an optimal prefix code, with ``limit`` of one whose lengths are bounded; one symbol alone takes none."""
+    if limit:
+        return sum(c * n for c, n in zip(counts, prefix_code_lengths(counts, limit), strict=True))
     heap = [int(c) for c in counts if c > 0]
-    if len(heap) <= 1:
-        return sum(heap)
     heapq.heapify(heap)
     total = 0
     while len(heap) > 1:
@@ -50,13 +76,13 @@ def prefix_code_bits(counts: list[int]) -> int:
 
 
 def huffman_bits(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Bits of an optimal prefix code of ``value`` per group, from its histogram."""
+    """Bits of an optimal prefix code of ``value`` per group, from its histogram, and of one of at most 11 bits (null: more symbols than that has codes)."""
     histogram = rows.groupBy(group, value).count()
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({group: [f[group].iloc[0]], "n": [int(f["count"].sum())], "bits": [prefix_code_bits(f["count"].tolist())]})
+        return pd.DataFrame({group: [f[group].iloc[0]], "n": [int(f["count"].sum())], "bits": [prefix_code_bits(f["count"].tolist())], "limited": pd.array([prefix_code_bits(f["count"].tolist(), 11) if len(f) <= 1 << 11 else None], dtype="Int64")})
 
-    return histogram.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, n long, bits long")
+    return histogram.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, n long, bits long, limited long")
 
 
 RATIOS = np.linspace(0.70, 1.0, 16)
@@ -171,29 +197,36 @@ def allocate(options: DataFrame, group: str, budget: float) -> DataFrame:
     return options.groupBy(group).applyInPandas(run, f"{group} {dict(options.dtypes)[group]}, item long, level long")
 
 
-def cache_hits(trace: list, size: int, policy: str) -> int:
-    """Hits of an LRU or LFU cache over a trace; LFU drops the least used, then the oldest."""
-    held: OrderedDict = OrderedDict()
+def cache_hits(trace: list, size: int, policy: str, seed: list | None = None) -> int:
+    """Hits of an LRU or LFU cache over a trace. LFU drops the value used least in the whole trace so far (uses
+    before an eviction count on), the longest untouched of several. ``seed`` fills the cache first, up to its size."""
+    held: OrderedDict = OrderedDict.fromkeys((seed or [])[:size])
+    uses: Counter = Counter()
     hits = 0
     for x in trace:
         if x in held:
             hits += 1
-            held[x] += 1
             held.move_to_end(x)
         else:
             if len(held) >= size:
-                held.pop(next(iter(held)) if policy == "lru" else min(held, key=held.get))
-            held[x] = 1
+                held.pop(next(iter(held)) if policy == "lru" else min(held, key=uses.__getitem__))
+            held[x] = None
+        uses[x] += 1
     return hits
 
 
-def replay_cache(rows: DataFrame, group: str, order: list[str], value: str, sizes=(4, 16)) -> DataFrame:
-    """(group, policy, size, n, hits) of a cache replay over each group's trace."""
+def replay_cache(rows: DataFrame, group: str, order: list[str], value: str, sizes=(4, 16), seeds: DataFrame | None = None) -> DataFrame:
+    """(group, policy, size, n, hits) of a cache replay over each group's trace. A cache's state depends on all that came
+    before, so a group's trace is one task's. ``seeds`` (group, seed: list) start from a profile."""
     def run(f: pd.DataFrame) -> pd.DataFrame:
         trace = f.sort_values(order)[value].tolist()
-        return pd.DataFrame([(f[group].iloc[0], p, s, len(trace), cache_hits(trace, s, p)) for p in ("lru", "lfu") for s in sizes], columns=[group, "policy", "size", "n", "hits"])
+        seed = f["_seed"].iloc[0] if "_seed" in f else None
+        return pd.DataFrame([(f[group].iloc[0], p, s, len(trace), cache_hits(trace, s, p, None if seed is None else list(seed))) for p in ("lru", "lfu") for s in sizes], columns=[group, "policy", "size", "n", "hits"])
 
-    return rows.select(group, *order, value).groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, policy string, size long, n long, hits long")
+    chosen = rows.select(group, *order, value)
+    if seeds is not None:
+        chosen = chosen.join(seeds.withColumnRenamed("seed", "_seed"), group, "left")
+    return chosen.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, policy string, size long, n long, hits long")
 
 
 def prefix_hits(prompts: list[list], page: int = 16, capacity: int = 64) -> list[int]:
@@ -201,9 +234,9 @@ def prefix_hits(prompts: list[list], page: int = 16, capacity: int = 64) -> list
     held: OrderedDict = OrderedDict()
     out = []
     for words in prompts:
-        keys, key = [], ()
+        keys, key = [], b""
         for i in range(0, len(words) - page + 1, page):
-            key = hash((key, tuple(words[i:i + page])))
+            key = hashlib.blake2b(key + "\0".join(words[i:i + page]).encode(), digest_size=16).digest()
             keys.append(key)
         found = 0
         while found < len(keys) and keys[found] in held:
@@ -400,15 +433,22 @@ def clopper_pearson(k: int, n: int, alpha: float) -> tuple[float, float]:
     return low, high
 
 
-def partitions(layers: np.ndarray, speeds: dict[int, float], room: dict[int, float], most: int = 3) -> list[tuple[float, str]]:
-    """Contiguous cuts of layers over up to ``most`` different nodes that fit, by bottleneck; single nodes first."""
+def partitions(layers: np.ndarray, speeds: dict[int, float], room: dict[int, float], most: int = 3, keep: int | None = None) -> list[tuple[float, str]]:
+    """Contiguous cuts of layers over up to ``most`` different nodes that fit, by bottleneck; the best ``keep``, or all.
+
+    With ``keep`` a cut is given up as soon as its slowest part is slower than the worst of those kept.
+    """
     total = np.append(0, np.cumsum(layers))
     n = len(layers)
     found: list[tuple[float, str]] = []
 
     def extend(at: int, used: tuple[int, ...], cuts: tuple[int, ...], worst: float) -> None:
+        if keep and len(found) >= keep and round(worst, 6) > found[keep - 1][0]:
+            return
         if at == n:
-            found.append((round(worst, 6), ",".join(f"{u}:{c}" for u, c in zip(used, cuts, strict=True))))
+            insort(found, (round(worst, 6), ",".join(f"{u}:{c}" for u, c in zip(used, cuts, strict=True))))
+            if keep:
+                del found[keep:]
             return
         if len(used) == most:
             return
@@ -422,4 +462,4 @@ def partitions(layers: np.ndarray, speeds: dict[int, float], room: dict[int, flo
                 extend(end, (*used, node), (*cuts, end), max(worst, float(size / speeds[node])))
 
     extend(0, (), (), 0.0)
-    return sorted(found)
+    return found

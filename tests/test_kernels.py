@@ -18,10 +18,28 @@ def test_recency_rank():
 
 def test_prefix_code_bits():
     assert K.prefix_code_bits([]) == 0
-    assert K.prefix_code_bits([5]) == 5
+    assert K.prefix_code_bits([5]) == 0
     assert K.prefix_code_bits([1, 1, 2, 4]) == 1 * 3 + 1 * 3 + 2 * 2 + 4
 
 
+def test_length_limited_codes():
+    from itertools import product
+
+    draw = np.random.default_rng(4)
+    for _ in range(40):
+        counts = draw.integers(0, 40, draw.integers(1, 7)).tolist()
+        used = [c for c in counts if c]
+        assert K.prefix_code_bits(counts, 20) == K.prefix_code_bits(counts)
+        for limit in (1, 2, 3):
+            if 1 << limit < len(used):
+                with pytest.raises(ValueError):
+                    K.prefix_code_bits(counts, limit)
+            elif len(used) > 1:
+                best = min(sum(c * n for c, n in zip(used, lengths)) for lengths in product(range(1, limit + 1), repeat=len(used)) if sum(2.0 ** -n for n in lengths) <= 1)
+                lengths = K.prefix_code_lengths(counts, limit)
+                assert K.prefix_code_bits(counts, limit) == best and max(lengths) <= limit and sum(2.0 ** -n for n in lengths if n) <= 1
+
+
 def test_fit_scale_is_never_worse_than_the_largest_magnitude():
     x = np.random.default_rng(1).normal(size=32)
     scale, codes = K.fit_scale(x, 4)
@@ -46,6 +64,51 @@ def test_greedy_budget_fits():
 def test_cache_hits():
     assert K.cache_hits([1, 2, 1, 3, 2], 2, "lru") == 1
     assert K.cache_hits([1, 1, 2, 3, 1], 2, "lfu") == 2
+    # 1 was used three times before it was dropped; when it is back, those count and 2 goes first.
+    trace = [1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 1, 4, 1]
+    assert K.cache_hits(trace, 2, "lfu") == plain_lfu(trace, 2) == 9
+    assert K.cache_hits([7, 8, 7], 2, "lru", [8, 7]) == 3 and K.cache_hits([7, 8, 9], 2, "lru", [8, 7, 9]) == 2
+    draw = np.random.default_rng(6)
+    for _ in range(50):
+        trace = draw.integers(0, 8, 60).tolist()
+        assert K.cache_hits(trace, 3, "lfu") == plain_lfu(trace, 3)
+
+
+def plain_lfu(trace, size):
+    """Each step by itself: uses and last touch of every held value counted from the trace."""
+    held, hits = set(), 0
+    touched = {}
+    for t, x in enumerate(trace):
+        if x in held:
+            hits += 1
+        else:
+            if len(held) >= size:
+                held.remove(min(held, key=lambda v: (trace[:t].count(v), touched[v])))
+            held.add(x)
+        touched[x] = t
+    return hits
+
+
+def test_partitions_keep_the_best():
+    layers = np.random.default_rng(8).integers(1, 30, 12).astype(float)
+    speeds, room = {1: 3.0, 2: 2.0, 3: 1.0}, {1: layers.sum() * 0.6, 2: layers.sum() * 0.5, 3: layers.sum() * 0.4}
+    every = K.partitions(layers, speeds, room)
+    assert every == sorted(every) and K.partitions(layers, speeds, room, keep=5) == every[:5]
+
+
+def test_numbers_and_windows_over_ranges(spark):
+    from marlstone.operators import ranks
+
+    draw = np.random.default_rng(5)
+    rows = [(int(draw.integers(0, 3)) if k % 7 else None, int(draw.integers(0, 5000)) * 1000 + k) for k in range(900)]
+    df = spark.createDataFrame(rows, "g long, at long").repartition(5)
+    got = ranks.numbered(df, ["at"], "k", ["g"]).collect()
+    for g in {r[0] for r in rows}:
+        assert [r.k for r in sorted((r for r in got if r.g == g), key=lambda r: r.at)] == list(range(1, 1 + sum(r[0] == g for r in rows)))
+    assert sorted(r.k for r in ranks.numbered(df, ["at"], "k").collect()) == list(range(1, 901))
+    assert ranks.numbered(df.limit(0), ["at"], "k", ["g"]).count() == 0
+    near = {r.at: r.n for r in ranks.counted_within(df, "g", "at", 40_000, "n", 3).collect()}
+    assert near == {t: sum(g == h and t - 40_000 <= u <= t for h, u in rows) for g, t in rows}
 
 
 def test_admission_states():
