@@ -6,14 +6,17 @@
    share enough values must share one of their first ones, so only those are listed.
 3. Lists of up to LIST nodes give candidate pairs. A longer list gives no pairs: its members are held
    against one pivot. Links among those near the pivot follow from their differences to it alone
-   (``_near_links``); those far from it are listed anew by sketches of their differences.
+   (``_near_links``); those far from it are listed anew by sketches of their differences, until no list
+   is long: each round takes at least its pivots out of the lists.
 4. Candidates are filtered by the Jaccard estimate from the sketch of their union, and confirmed on
    full sets. Connected components follow.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from math import comb
 from typing import NamedTuple
 
@@ -31,8 +34,8 @@ WORDS, K, LIST = 5, 48, 32
 FAR_SHARE = 0.15
 #: The least of ``percent`` for which FAR_SHARE holds.
 LEAST = 70
-#: Rounds of pivots; lists that are still long after them give all their pairs.
-ROUNDS = 3
+#: Members of one pivot that meet a copy of its text in one group of rows.
+SHARE_OF_PIVOT = 512
 #: Members in the two sides of a block of ``_near_links``, and values of their differences, in the mean.
 LEFT, RIGHT, VALUES = 512, 4096, 1 << 20
 REMEMBER = 100_000
@@ -137,13 +140,20 @@ def _list_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "key").where(near).select("a", "b").distinct()
 
 
-def _with_texts(pairs: DataFrame, documents: DataFrame, work: common.Workspace) -> DataFrame:
-    """``pairs`` (a, b) with both texts; only texts of nodes that occur are exchanged."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Pairs grow with the corpus, so texts are joined by shuffle at every size.
-    some = documents.select("doc_id", "text").join(used.hint("merge"), "doc_id", "left_semi")
-    one = pairs.hint("merge").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return one.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def _with_texts(pairs: DataFrame, documents: DataFrame, work: common.Workspace, name: str) -> DataFrame:
+    """``pairs`` (a, b), a table, with both texts.
+
+    Only texts of nodes that occur are exchanged. Pairs are dealt by b, and a's texts go to shares of
+    at most about SHARE_OF_PIVOT pairs, so that a node with very many partners is spread over tasks.
+    """
+    used = work.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-used")
+    some = work.save(common.only(documents.select("doc_id", "text").where("doc_id is not null"), used, used.count()), f"{name}-texts")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE_OF_PIVOT).alias("shares"))
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"))
+    left = shares.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    left = left.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "ta")
+    right = dealt.hint("merge").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return right.hint("merge").join(left, ["a", "share"]).select("a", "b", "ta", "tb")
 
 
 def _confirm(pairs: DataFrame, documents: DataFrame, work: common.Workspace, percent: int) -> DataFrame:
@@ -167,7 +177,7 @@ def _confirm(pairs: DataFrame, documents: DataFrame, work: common.Workspace, per
                         keep.append(k)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return _with_texts(pairs, documents, work).mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, documents, work, "pair").mapInArrow(run, "a long, b long")
 
 
 def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +192,7 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return union.where(F.when(whole, exact).otherwise(hits >= F.floor(share * m))).select("a", "b")
 
 
-def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, percent: int) -> DataFrame:
+def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, percent: int, name: str) -> DataFrame:
     """How members x of long lists differ from their pivots p: (p, sid, n, linked, near, delta, sketch).
 
     delta, of near members, is the symmetric difference of the sets of x and p. sketch, of far ones, is
@@ -216,7 +226,7 @@ def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, perce
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.bool_()), *lists],
                                                  ["p", "sid", "n", "linked", "near", "delta", "sketch"])
 
-    texts = _with_texts(star, documents, work).selectExpr("a as p", "b as sid", "ta as tp", "tb as ta")
+    texts = _with_texts(star, documents, work, name).selectExpr("a as p", "b as sid", "ta as tp", "tb as ta")
     return texts.mapInArrow(run, "p long, sid long, n long, linked boolean, near boolean, delta array<long>, sketch array<long>")
 
 
@@ -277,8 +287,8 @@ def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tu
     nodes = work.save(nodes.select("k1", "k2", F.col("x.doc_id").alias("sid"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")), "nodes")
     entries = work.save(_first_values(nodes, bounds(percent).share), "lists-0")
     candidates, edges = [], []
-    for turn in range(1, ROUNDS + 1):
-        candidates.append(_list_pairs(entries.where(f"members <= {LIST}"), percent))
+    for turn in itertools.count(1):
+        candidates.append(work.save(_list_pairs(entries.where(f"members <= {LIST}"), percent), f"candidates-{turn}"))
         long = entries.where(f"members > {LIST}")
         # Any pivot will do for a list. Lists that share members take the least of their pivots, so that a
         # family of near copies is held against one pivot, not against one for each list.
@@ -286,23 +296,22 @@ def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tu
         chosen = long.join(pivots, "key").groupBy("sid").agg(F.min("a").alias("a"))
         pivots = work.save(long.join(chosen, "sid").groupBy("key").agg(F.min("a").alias("a")), f"pivots-{turn}")
         star = work.save(long.join(pivots, "key").where("sid != a").select("a", F.col("sid").alias("b")).distinct(), f"star-{turn}")
+        work.drop(f"lists-{turn - 1}", f"pivots-{turn}")
         if star.isEmpty():
             break
-        refined = work.save(_refine(star, documents, work, percent), f"refined-{turn}")
-        edges.append(refined.where("linked").select(F.col("p").alias("a"), F.col("sid").alias("b")))
+        refined = work.save(_refine(star, documents, work, percent, f"star-{turn}"), f"refined-{turn}")
+        work.drop(f"star-{turn}", f"star-{turn}-used", f"star-{turn}-texts")
+        edges.append(work.save(refined.where("linked").select(F.col("p").alias("a"), F.col("sid").alias("b")), f"linked-{turn}"))
         edges.append(work.save(_near_links(refined, percent), f"near-{turn}"))
         far = refined.where("size(sketch) > 0").select(F.struct("p", "sid").alias("sid"), "n", "sketch")
         entries = work.save(_first_values(far, FAR_SHARE).withColumn("sid", F.col("sid.sid")), f"lists-{turn}")
-    else:
-        candidates.append(_list_pairs(entries, percent))
-    every = candidates[0]
-    for more in candidates[1:]:
-        every = every.unionAll(more)
-    pairs = work.save(_estimate(every.distinct(), nodes, percent), "pairs")
-    found = _confirm(pairs, documents, work, percent)
-    for more in edges:
-        found = found.unionAll(more)
-    return prints.join(nodes.select("k1", "k2", "sid"), ["k1", "k2"], "left"), work.save(found, "edges")
+        work.drop(f"refined-{turn}")
+    pairs = work.save(_estimate(functools.reduce(DataFrame.unionAll, candidates).distinct(), nodes, percent), "pairs")
+    work.drop(*(f"candidates-{k}" for k in range(1, turn + 1)))
+    found = functools.reduce(DataFrame.unionAll, edges, _confirm(pairs, documents, work, percent))
+    found = work.save(found, "edges")
+    work.drop("pairs", "pair-used", "pair-texts", *(f"{name}-{k}" for name in ("linked", "near") for k in range(1, turn + 1)))
+    return prints.join(nodes.select("k1", "k2", "sid"), ["k1", "k2"], "left"), found
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -317,6 +326,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     work = common.Workspace(documents.sparkSession, "near")
     prints, edges = links(documents, work, percent)
     groups = work.save(common.components(edges, work), "groups")
+    work.drop("edges")
     own = prints.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(groups, F.col("sid") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "sid", "doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -327,5 +337,6 @@ def deduplicate(documents: DataFrame, percent: int = 85) -> DataFrame:
 
     Rows with a null doc_id stay. Of repeated rows with the kept doc_id, all stay.
     """
-    marks = near_duplicates(documents, percent).where("not kept").select("doc_id").distinct()
-    return documents.join(marks, "doc_id", "left_anti").select(*documents.columns)
+    gone, = common.fresh(documents.columns, "gone")
+    marks = near_duplicates(documents, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(marks, F.col("doc_id") == F.col(gone), "left_anti")
