@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -42,27 +44,53 @@ def _within(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bits of a packed window that hold its place; the others are its hash.
+PLACE_BITS = 24
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more.
 
-    Windows with their places are sorted, equal ones stand side by side, and the places that the
-    repeated ones cover are counted; n log n, also for very long texts.
+    Windows are sorted as whole numbers, hash above place, so that equal ones stand side by side; neighbours
+    with one hash are confirmed on their words, and the places that repeated windows cover are counted. Should
+    different windows share a hash, or places not fit, the windows themselves are sorted.
+    n log n, also for very long texts.
     """
     def count(w):
         n = F.size(w)
-        windows = F.arrays_zip(F.slice(w, 1, n - 2).alias("a"), F.slice(w, 2, n - 2).alias("b"), F.slice(w, 3, n - 2).alias("c"), F.sequence(F.lit(1), n - 2).alias("at"))
-        return F.when(n >= 3, _within(F.sort_array(windows), marked)).otherwise(0)
+        packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.xxhash64(w[i], w[i + 1], w[i + 2]), PLACE_BITS).bitwiseOR(i.cast("long")))
+        fast = _within(F.sort_array(packed), lambda s: _within(_neighbours(s), lambda k: confirmed(w, s, k)))
+        return F.when(n < 4, 0).when(n > 1 << PLACE_BITS, _covered_by_words(w)).otherwise(fast)
+
+    def _neighbours(s):
+        return F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda k: F.shiftright(s[k - 1], PLACE_BITS) == F.shiftright(s[k], PLACE_BITS))
+
+    def confirmed(w, s, k):
+        place = lambda i: s[i].bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+        differ = lambda x, y: (w[x] != w[y]) | (w[x + 1] != w[y + 1]) | (w[x + 2] != w[y + 2])
+        clash = F.exists(k, lambda i: differ(place(i - 1), place(i)))
+        at = F.array_union(F.transform(k, lambda i: place(i - 1)), F.transform(k, place))
+        return F.when(F.size(k) == 0, 0).when(clash, _covered_by_words(w)).otherwise(_within(at, _covered))
+
+    return _within(words, count)
+
+
+def _covered(at: Column) -> Column:
+    """Number of words in the windows that begin at the places."""
+    return F.size(F.array_union(F.array_union(at, F.transform(at, lambda x: x + 1)), F.transform(at, lambda x: x + 2)))
+
+
+def _covered_by_words(w: Column) -> Column:
+    """Words inside repeated windows, by sorting windows of words."""
+    n = F.size(w)
+    windows = F.arrays_zip(F.slice(w, 1, n - 2).alias("a"), F.slice(w, 2, n - 2).alias("b"), F.slice(w, 3, n - 2).alias("c"), F.sequence(F.lit(1), n - 2).alias("at"))
 
     def marked(s):
         pairs = F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("x"), F.slice(s, 2, F.size(s) - 1).alias("y"))
         equal = F.filter(pairs, lambda p: (p["x"]["a"] == p["y"]["a"]) & (p["x"]["b"] == p["y"]["b"]) & (p["x"]["c"] == p["y"]["c"]))
-        return F.when(F.size(s) >= 2, _within(equal, covered)).otherwise(0)
+        return _within(equal, lambda e: _within(F.array_union(F.transform(e, lambda p: p["x"]["at"]), F.transform(e, lambda p: p["y"]["at"])), _covered))
 
-    def covered(e):
-        at = F.array_union(F.transform(e, lambda p: p["x"]["at"]), F.transform(e, lambda p: p["y"]["at"]))
-        return _within(at, lambda a: F.size(F.array_union(F.array_union(a, F.transform(a, lambda x: x + 1)), F.transform(a, lambda x: x + 2))))
-
-    return _within(words, count)
+    return _within(F.sort_array(windows), marked)
 
 
 def measures(documents: DataFrame) -> DataFrame:
@@ -70,7 +98,7 @@ def measures(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    d = documents.select(F.struct(*documents.columns).alias("_row"), text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
+    d = documents.select(F.struct(*(F.col(quoted(c)) for c in documents.columns)).alias("_row"), text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     n, n_lines = F.size("_words").cast("long"), F.size("_lines")
     chars = F.length(F.translate("_text", BLANKS, "")).cast("long")
@@ -107,7 +135,10 @@ def _judged(documents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def filter_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns; the same projection, then a filter.
+    """The documents that pass, with their own columns, whatever their names; the same projection, then a filter.
+
+    Null and empty texts do not pass; a null doc_id is judged by its text; repeated rows stay or go together;
+    an empty table gives no rows.
 
     The verdict passes through ``explode``, which a filter is not pushed below: pushed into the
     projection, it would work out each measure, and the split into words, at every mention.
