@@ -57,6 +57,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def plain(documents: DataFrame, *read: str) -> DataFrame:
+    """The same columns in the same order, all but ``read`` under plain names: rows can't pass through Arrow with
+    names that hold a dot. ``toDF`` with the old names brings them back."""
+    names = fresh([*read], *(f"c{k}" for k in range(len(documents.columns))))
+    return documents.toDF(*(c if c in read else n for c, n in zip(documents.columns, names, strict=True)))
+
+
 def only(documents: DataFrame, ids: DataFrame, count: int, key: str = "doc_id") -> DataFrame:
     """Rows of ``documents`` whose ``key`` is among ``ids`` (distinct, one column of that name): up to
     FEW_IDS ids are broadcast, so that no other row is exchanged, more are joined by shuffle."""

@@ -181,6 +181,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = ERRO
     """``documents`` without those that hold a test item, as ``leaks`` finds them; all columns stay, whatever
     their names. Null and empty texts stay, repeated rows stay or go together, a null doc_id is judged by its
     text, and an empty table on either side is no error."""
-    columns = documents.columns
-    out, items, _ = _scan(documents, benchmark, rate, block_bytes, short)
-    return out.where(F.size(items) == 0).select(*map(common.quoted, columns))
+    rows = common.plain(documents, "text")
+    out, items, distances = _scan(rows, benchmark, rate, block_bytes, short)
+    return out.where(F.size(items) == 0).drop(items, distances).toDF(*documents.columns)

@@ -288,4 +288,5 @@ def redact_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 batch = batch.set_column(n, batch.schema.field(n), pa.array([o if t is None else len(t) for o, t in zip(old, texts, strict=True)], batch.schema.field(n).type))
             yield batch
 
-    return documents.mapInArrow(run, documents.schema)
+    rows = common.plain(documents, "text", "n_chars")
+    return rows.mapInArrow(run, rows.schema).toDF(*documents.columns)
