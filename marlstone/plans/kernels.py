@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.dialect import DUCK
 from marlstone.operators import kernels as K
+from marlstone.operators import ranks, training
 from marlstone.plans import stateful
 from marlstone.registry import query
 from marlstone.sources import files
@@ -170,6 +171,49 @@ def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.mapInPandas(run, "lang string, k long, n long, low double, high double")
 
 
+@query("bpe_merges", """
+with w as (select unnest(regexp_extract_all(p_name, '[a-z]+')) as word from part),
+q as (select substr(word, 1, k::int) as piece, 1 as n from w, range(1, 6) r(k) where length(word) >= k union all select chr(96 + k::int), 0 from range(1, 27) r(k)),
+p as (select piece, sum(n)::bigint as n from q group by piece),
+v as (select row_number() over (order by n desc, piece) as id, piece, n::double as score from p),
+c as (select v.id, v.score, substr(v.piece, 1, k::int) as l, substr(v.piece, k::int + 1) as r from v, range(1, 6) t(k) where k < length(v.piece)),
+m as (select c.*, a.id as lid, b.id as rid from c join v a on a.piece = c.l join v b on b.piece = c.r)
+select row_number() over (order by score desc, length(l) desc, length(r) desc, id, lid, rid) as rank, l as "left", r as "right" from m""")
+def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of a vocabulary of word beginnings, scored by their counts."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.expr("regexp_extract_all(p_name, '[a-z]+', 0)")).alias("w"))
+    begins = words.select(F.explode(F.expr("transform(sequence(1, least(length(w), 5)), k -> substring(w, 1, k))")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    letters = spark.createDataFrame([(chr(97 + k), 0) for k in range(26)], "piece string, n long")
+    pieces = begins.unionAll(letters).groupBy("piece").agg(F.sum("n").alias("n"))
+    ids = ranks.numbered(pieces.withColumn("minus", -F.col("n")), ["minus", "piece"], "id")
+    return training.merges_from_scores(ids.select("id", "piece", F.col("n").cast("double").alias("score")))
+
+
+@query("dictionary_cover")
+def dictionary_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of frequent strings for each source's texts."""
+    return training.dictionaries(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
+@query("feedback_rounding")
+def feedback_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's mean vector laid out as an 8 x 8 matrix, rounded with the second moments of its entries by row."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("at", "x")).withColumn("row", F.expr("at div 8"))
+    mean = e.groupBy("label", "at").agg(F.avg("x").alias("w"))
+    parts = table(spark, sf_dir, "embeddings").select("label", F.expr("transform(sequence(0, 7), i -> aggregate(slice(embedding, i * 8 + 1, 8), 0.0D, (a, x) -> a + x))").alias("s"))
+    pairs = parts.select("label", F.posexplode("s").alias("i", "a"), "s").select("label", "i", "a", F.posexplode("s").alias("j", "b"))
+    moments = pairs.groupBy("label", "i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("h"))
+    both = mean.select("label", F.lit(0).alias("kind"), F.col("at"), F.lit(0).alias("j"), "w").unionAll(moments.select("label", F.lit(1).alias("kind"), F.col("i").alias("at"), "j", F.col("h").alias("w")))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        w = f[f["kind"] == 0].sort_values("at")["w"].to_numpy(float).reshape(8, 8)
+        h = f[f["kind"] == 1].sort_values(["at", "j"])["w"].to_numpy(float).reshape(8, 8)
+        rounded = training.feedback_rounding(w, h, 4, 0.05, 8)
+        return pd.DataFrame({"label": f["label"].iloc[0], "row": range(8), "values": [r.round(6).tolist() for r in rounded]})
+
+    return both.groupBy("label").applyInPandas(run, "label int, row long, values array<double>")
+
+
 @query("parquet_chunks")
 def parquet_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column chunks of the events file."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import pickle
 import struct
 import tarfile
 import zipfile
@@ -16,6 +17,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _each(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
@@ -27,7 +29,7 @@ def _each(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
             for p, c in zip(f["path"], f["content"], strict=True):
                 try:
                     out += [(p.rsplit("/", 1)[-1], *r) for r in rows(c)]
-                except (ValueError, KeyError, struct.error, OSError, EOFError) as e:
+                except (ValueError, KeyError, IndexError, struct.error, OSError, EOFError, zipfile.BadZipFile, pickle.UnpicklingError) as e:
                     raise ValueError(f"{p}: {e}") from e
             yield pd.DataFrame(out, columns=names)
 
@@ -132,6 +134,8 @@ WIDTHS = {"BOOL": 1, "U8": 1, "I8": 1, "F8_E4M3": 1, "F8_E5M2": 1, "I16": 2, "U1
 def tensor_rows(data: bytes):
     """(name, dtype, shape, begin, end); ranges must agree with shapes and tile the data."""
     n = struct.unpack("<Q", data[:8])[0]
+    if n > min(len(data) - 8, 100_000_000) or data[8:9] != b"{":
+        raise ValueError("no tensor header")
     header = json.loads(data[8:8 + n])
     found = sorted((v["data_offsets"][0], v["data_offsets"][1], k, v["dtype"], v["shape"]) for k, v in header.items() if k != "__metadata__")
     at = 0
@@ -147,6 +151,66 @@ def tensor_rows(data: bytes):
         raise ValueError("data left over")
 
 
+def checkpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """Tensors of a checkpoint of several files: (name, file, dtype, shape, begin, end, problem).
+
+    The index (model.safetensors.index.json) says which file holds each tensor. A tensor that its file lacks is
+    "missing", one in another file "misplaced", one that the index does not name "unlisted"; else null.
+    """
+    index = spark.read.text(f"{folder}/model.safetensors.index.json", wholetext=True)
+    named = index.select(F.explode(F.from_json(F.get_json_object("value", "$.weight_map"), "map<string, string>")).alias("name", "listed"))
+    found = tensor_headers(spark, f"{folder}/*.safetensors")
+    both = named.join(found, "name", "full")
+    problem = F.when(F.col("file").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(F.col("file") != F.col("listed"), "misplaced")
+    return both.select("name", F.coalesce("file", "listed").alias("file"), "dtype", "shape", "begin", "end", problem.alias("problem"))
+
+
+class _Storages(pickle.Unpickler):
+    """Reads tensors of a saved module as (storage key, element type, offset, shape), and calls nothing that it names."""
+
+    def persistent_load(self, pid):
+        kind = pid[1]
+        return pid[2], kind if isinstance(kind, str) else getattr(kind, "name", "?"), pid[4]
+
+    def find_class(self, module, name):
+        if module == "torch._utils" and name.startswith("_rebuild_tensor"):
+            return lambda storage, offset, shape, *_: ("tensor", storage, offset, tuple(shape))
+        if module == "torch._utils" and name == "_rebuild_parameter":
+            return lambda tensor, *_: tensor
+        if (module, name) == ("collections", "OrderedDict"):
+            return dict
+        if module == "torch" and name.endswith("Storage"):
+            return type(name, (), {"name": name})
+        raise ValueError(f"{module}.{name} is no part of a tensor file")
+
+
+def storage_rows(data: bytes):
+    """(name, storage, element type, offset, shape, bytes, begin) of the tensors of a zip of storages; ``begin``
+    is where the storage's bytes stand in the file, null if they are compressed."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        infos = {i.filename: i for i in z.infolist()}
+        top = next((n for n in infos if n.endswith("/data.pkl")), None)
+        if top is None:
+            raise ValueError("no data.pkl")
+        tensors = _Storages(io.BytesIO(z.read(top))).load()
+        todo = [("", tensors)]
+        while todo:
+            name, value = todo.pop()
+            if isinstance(value, dict):
+                todo += [(f"{name}.{k}" if name else str(k), v) for k, v in reversed(value.items())]
+            elif isinstance(value, tuple) and value[:1] == ("tensor",):
+                key, kind, _ = value[1]
+                info = infos[f"{top.removesuffix('data.pkl')}data/{key}"]
+                head = info.header_offset
+                begin = head + 30 + sum(struct.unpack_from("<HH", data, head + 26)) if info.compress_type == zipfile.ZIP_STORED else None
+                yield name, key, kind.removesuffix("Storage").lower(), value[2], list(value[3]), info.file_size, begin
+
+
+def tensor_storages(spark: SparkSession, path: str) -> DataFrame:
+    """Tensors of zips of storages."""
+    return _each(spark, path, storage_rows, "file string, name string, storage string, kind string, offset long, shape array<long>, bytes long, begin long")
+
+
 def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
     """Tensors of files that open with a JSON header; several files are several shards."""
     return _each(spark, path, tensor_rows, "file string, name string, dtype string, shape array<long>, begin long, end long")
@@ -181,7 +245,8 @@ def gguf_rows(data: bytes):
             return [value(inner) for _ in range(n)]
         return take(_SCALARS[kind])
 
-    take("<I")
+    if take("<I") not in (1, 2, 3):
+        raise ValueError("unknown version")
     tensors, pairs = take("<Q"), take("<Q")
     for _ in range(pairs):
         text()
@@ -197,10 +262,24 @@ def gguf_headers(spark: SparkSession, path: str) -> DataFrame:
     return _each(spark, path, gguf_rows, "file string, name string, shape array<long>, kind long, offset long")
 
 
+def _inflate(data: bytes) -> bytes | None:
+    """A zlib stream's content; None if the bytes only look like one."""
+    try:
+        return zlib.decompress(data)
+    except zlib.error:
+        return None
+
+
 def members(data: bytes, depth: int = 4, prefix: str = ""):
-    """(path, size, crc32) of what gzip, zlib, zip and tar containers hold, up to four deep."""
+    """(path, size, crc32) of what gzip, zlib, zstd, zip and tar containers hold, up to four deep."""
     if depth and data[:2] == b"\x1f\x8b":
         yield from members(gzip.decompress(data), depth - 1, prefix + "!gz")
+    elif depth and data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        yield from members(zstandard.ZstdDecompressor().decompressobj().decompress(data), depth - 1, prefix + "!zst")
+    elif depth and data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0 and (plain := _inflate(data)) is not None:
+        yield from members(plain, depth - 1, prefix + "!zlib")
     elif depth and data[:4] == b"PK\x03\x04":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for name in z.namelist():
