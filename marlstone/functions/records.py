@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # The limits of a strict JSON body.
 MAX_JSON_BYTES = 1_048_576
@@ -378,3 +380,56 @@ class ToolStream:
         whole = tool_calls(self.text, self.style, self.tools)
         rest = (whole.content or "")[self.sent:]
         return ([("content", -1, rest)] if rest else []) + self._news(whole.calls)
+
+
+# Words that name a secret, and beginnings of tokens.
+SECRET_WORDS = ("api-key", "api_key", "apikey", "hf-token", "hf_token", "token", "secret", "password", "passwd", "authorization")
+TOKEN_PREFIXES = ("hf_", "sk-", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "AIza")
+# What may follow a secret's name and is no secret.
+PLAIN_VALUES = ("null", "true", "false", "none", "found", "<set>", "<redacted>")
+
+_MARK = "<redacted>"
+_CREDENTIALS = re.compile(r"""(://)[^\s/"'\\<>]*@""")
+_PREFIXED = re.compile(f"(?<![A-Za-z0-9])({'|'.join(map(re.escape, TOKEN_PREFIXES))})[A-Za-z0-9_-]{{8,}}")
+_BEARER = re.compile(r"((?:bearer|basic) )[A-Za-z0-9_./+=-]{8,}", re.I)
+_KEYED = re.compile(rf"""(?<![A-Za-z0-9])({'|'.join(SECRET_WORDS)})(?![A-Za-z0-9_])(</key>\s*<string>|[=: "'\\]*[=: ][=: "'\\]*)([^\s"',\\}}\];&]+)""", re.I)
+
+
+def redact_private(text: str, home: str = r"/(?:home|Users)/[^/\s\"']+") -> str:
+    """``text`` without what must not leave a machine: home folders as ~, credentials in URLs, tokens by their
+    beginning (kept) and 8 characters or more, bearer and basic credentials, and values after a secret's name
+    that are not plainly none (digits only, a word like null)."""
+    def keyed(m: re.Match) -> str:
+        value, rest = m[3], ""
+        if m[2].lower().startswith("</key>"):
+            value, _, rest = value.partition("<")
+            rest = m[3][len(value):]
+        bare = value in PLAIN_VALUES or value.lower() in ("bearer", "basic") or value.isdigit() or any(value == p + _MARK for p in TOKEN_PREFIXES)
+        if not value or bare or m[1].lower() == "token" and len(value) < 8:
+            return m[0]
+        return f"{m[1]}{m[2]}{_MARK}{rest}"
+
+    text = re.sub(home, "~", text)
+    text = _CREDENTIALS.sub(rf"\1{_MARK}@", text)
+    text = _PREFIXED.sub(rf"\1{_MARK}", text)
+    text = _BEARER.sub(rf"\1{_MARK}", text)
+    return _KEYED.sub(keyed, text)
+
+
+# Directives of a time format, besides %e (a day padded with a blank) and %%; others are refused.
+DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "p": "a", "j": "DDD", "a": "EEE", "A": "EEEE", "b": "MMM", "B": "MMMM"}
+
+
+def time_text(column: str, form: str) -> Column:
+    """A time as a strftime format writes it, in built-in functions; ValueError for a directive that is not known."""
+    parts = []
+    for literal, directive in re.findall(r"([^%]+)|%(.?)", form, re.S):
+        if literal or directive == "%":
+            parts.append(F.lit(literal or "%"))
+        elif directive == "e":
+            parts.append(F.lpad(F.dayofmonth(column).cast("string"), 2, " "))
+        elif directive in DIRECTIVES and directive:
+            parts.append(F.date_format(column, DIRECTIVES[directive]))
+        else:
+            raise ValueError(f"unknown directive %{directive}")
+    return F.concat(F.lit(""), *parts)

@@ -88,15 +88,21 @@ def huffman_bits(rows: DataFrame, group: str, value: str) -> DataFrame:
 RATIOS = np.linspace(0.70, 1.0, 16)
 
 
+def bf16(x: float) -> np.float32:
+    """A number with the eight significant bits of bfloat16, ties to even."""
+    bits = np.float32(x).view(np.uint32)
+    return ((bits + np.uint32(0x7FFF) + (bits >> np.uint32(16) & np.uint32(1))) & np.uint32(0xFFFF0000)).view(np.float32)
+
+
 def fit_scale(x: np.ndarray, bits: int) -> tuple[float, np.ndarray]:
-    """Scale and symmetric codes of a run with least squared error among 16 ratios of its largest magnitude."""
+    """Scale, a bfloat16, and symmetric codes of a run with least squared error among 16 ratios of its largest magnitude."""
     top = (1 << (bits - 1)) - 1
     most = float(np.abs(x).max()) if len(x) else 0.0
     if most == 0:
         return 0.0, np.zeros(len(x), np.int64)
     best = None
     for r in RATIOS:
-        scale = most * r / top
+        scale = float(bf16(most * r / top))
         codes = np.clip(np.rint(x / scale), -top, top)
         error = float(((codes * scale - x) ** 2).sum())
         if best is None or error < best[0]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
 import json
@@ -16,7 +17,7 @@ from marlstone.functions.dialect import DUCK
 from marlstone.operators import kernels as K
 from marlstone.operators import ranks, training
 from marlstone.plans import stateful
-from marlstone.registry import query
+from marlstone.registry import QUERIES, query
 from marlstone.sources import files
 from marlstone.sources.tables import table
 from marlstone.streaming import events as S
@@ -40,8 +41,8 @@ def huffman_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quantise_runs")
 def quantise_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings in runs of 32 with scale and four-bit codes."""
-    return K.quantise_runs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """Embeddings in runs of 32 with scale and codes of three to six bits."""
+    return functools.reduce(DataFrame.unionAll, [K.quantise_runs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", bits).withColumn("bits", F.lit(bits)) for bits in (3, 4, 5, 6)])
 
 
 @query("lloyd_max")
@@ -160,15 +161,17 @@ def partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("paired_interval")
 def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact limits of each language's share of good labels."""
-    g = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("quality").alias("k"), F.count("*").alias("n"))
+    """Exact limits, a quarter of 5% in each tail, of the shares of items that a candidate harms and gains in each language."""
+    g = QUERIES["paired_harm_gain"](spark, sf_dir)
 
     def run(frames):
         for f in frames:
-            limits = [K.clopper_pearson(int(k), int(n), 0.0125) for k, n in zip(f["k"], f["n"], strict=True)]
-            yield f.assign(low=[round(a, 6) for a, _ in limits], high=[round(b, 6) for _, b in limits])
+            for kind in ("harm", "gain"):
+                limits = [K.clopper_pearson(int(k), int(n), 0.0125) for k, n in zip(f[kind], f["n"], strict=True)]
+                f = f.assign(**{f"{kind}_low": [round(a, 6) for a, _ in limits], f"{kind}_high": [round(b, 6) for _, b in limits]})
+            yield f
 
-    return g.mapInPandas(run, "lang string, k long, n long, low double, high double")
+    return g.mapInPandas(run, "grp string, n long, harm long, gain long, harm_low double, harm_high double, gain_low double, gain_high double")
 
 
 @query("bpe_merges", """

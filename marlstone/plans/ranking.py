@@ -73,9 +73,11 @@ select row_id, token_id, k, round(lp, 6) as logprob from z where k <= 5"""
 
 @sql_query("router_topk", longs="k")
 def router_topk(d):
-    """Sigmoid scores, a bias that only picks, the picked weights renormalised and scaled."""
+    """Sigmoid, softmax and root-softplus scores (by row), a bias that only picks, the picked weights renormalised and scaled."""
     return f"""
-with s as (select row_id, token_id, 1 / (1 + exp(-logit)) as s, 1 / (1 + exp(-logit)) + (token_id % 4) * 0.01 as pick from {d.logits} l),
+with m as (select row_id, token_id, logit, max(logit) over (partition by row_id) as top from {d.logits} l),
+x as (select row_id, token_id, case row_id % 3 when 0 then 1 / (1 + exp(-logit)) when 1 then exp(logit - top) / sum(exp(logit - top)) over (partition by row_id) else sqrt(ln(1 + exp(logit))) end as s from m),
+s as (select row_id, token_id, s, s + (token_id % 4) * 0.01 as pick from x),
 k as (select row_id, token_id, s, row_number() over (partition by row_id order by round(pick, 12) desc, token_id) as k from s)
 select row_id, token_id, k, round(2.5 * s / sum(s) over (partition by row_id), 6) as weight from k where k <= 4"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import records as R
@@ -189,3 +189,60 @@ _TEXT = " ".join(f"when event_id % 8 = {k} then strftime(ts, '{f}')" for k, (_,
 def time_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times rendered in eight layouts, read back to whole numbers where they give the same text again."""
     return read_times(_events(spark, sf_dir, _rendered()).select("event_id", F.col("text").alias("t")), "t")
+
+
+_PRIVATE = """concat(event_id, ' ', case event_id % 9 when 0 then concat('at /home/u', user_id, '/x.txt') when 1 then concat('proxy http://me:pw', user_id, '@host/a@b') when 2 then concat('id sk-', lpad(user_id, 10, 'x'), ' end')
+ when 3 then concat('BEARER ', lpad(user_id, 9, 'z')) when 4 then concat('"HF_TOKEN": "', lpad(user_id, 12, 'q'), '", n') when 5 then concat('token=', user_id % 100) when 6 then 'password: null'
+ when 7 then concat('<key>password</key> <string>p', user_id, 'q</string>') else concat('xsk-', lpad(user_id, 10, 'x'), ' tokens=abcdefghij') end)"""
+
+
+@query("redact_documents", """
+select event_id, event_id || ' ' || case event_id % 9 when 0 then 'at ~/x.txt' when 1 then 'proxy http://<redacted>@host/a@b' when 2 then 'id sk-<redacted> end' when 3 then 'BEARER <redacted>' when 4 then '"HF_TOKEN": "<redacted>", n'
+  when 5 then 'token=' || (user_id % 100) when 6 then 'password: null' when 7 then '<key>password</key> <string><redacted></string>' else 'xsk-' || lpad(user_id::varchar, 10, 'x') || ' tokens=abcdefghij' end as kept from events""")
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without home folders, credentials, tokens and the values of secrets."""
+    return apply(_events(spark, sf_dir, _PRIVATE), "text", lambda v: {"kept": [R.redact_private(x) for x in v]}, "kept string", ("event_id",))
+
+
+@query("strftime_events", """
+select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as a, strftime(ts, '%a %A %b %B %j %y') || '%' as b, strftime(ts, '%I:%M %p') as c, lpad(day(ts)::varchar, 2, ' ') as e from events""")
+def strftime_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All format directives; others are refused when the plan is made."""
+    e = table(spark, sf_dir, "events")
+    forms = {"a": "%Y-%m-%d %H:%M:%S", "b": "%a %A %b %B %j %y%%", "c": "%I:%M %p", "e": "%e"}
+    return e.select("event_id", *(R.time_text("ts", f).alias(n) for n, f in forms.items()))
+
+
+@query("log_segments", """
+with l as (select user_id, event_id, event_type, 'server v1.' || (event_id % 7) || ' model=m' || user_id || case when event_type = 'signup' then ' listening' else ' took ' || event_id || ' ms' end as line from events),
+s as (select *, sum((event_type = 'signup')::int) over (partition by user_id order by event_id) as segment from l)
+select user_id, segment::bigint as segment, count(*) as lines, regexp_extract(min_by(line, event_id), 'v([0-9.]+)', 1) as version, regexp_extract(min_by(line, event_id), 'model=([a-z0-9]+)', 1) as model,
+  sum(nullif(regexp_extract(line, 'took ([0-9]+) ms', 1), '')::bigint)::bigint as ms from s where segment > 0 group by user_id, segment""")
+def log_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A server's log cut at each start: version and model of the start's line, and the time its requests took."""
+    line = "concat('server v1.', event_id % 7, ' model=m', user_id, if(event_type = 'signup', ' listening', concat(' took ', event_id, ' ms')))"
+    starts = F.sum(F.when(F.col("text").endswith(" listening"), 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    s = _events(spark, sf_dir, line).withColumn("segment", starts).where("segment > 0")
+    took = F.expr("try_cast(nullif(regexp_extract(text, 'took ([0-9]+) ms', 1), '') as bigint)")
+    g = s.groupBy("user_id", "segment").agg(F.count("*").alias("lines"), F.min_by("text", "event_id").alias("first"), F.sum(took).alias("ms"))
+    return g.select("user_id", F.col("segment").cast("long").alias("segment"), "lines", F.regexp_extract("first", "v([0-9.]+)", 1).alias("version"), F.regexp_extract("first", "model=([a-z0-9]+)", 1).alias("model"), "ms")
+
+
+@query("nearest_ancestor_attr", """
+with p as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages),
+f as (select page_id, path, string_split(path, '/') as parts from p),
+a as (select page_id, path, array_to_string(parts[1:k], '/') as folder, k from f, range(1, 12) r(k) where k <= len(parts)),
+known as (select distinct folder from a where folder like '%.com' or folder like '%.com/en' or folder like '%.org/fr'),
+n as (select a.page_id, a.path, max(k) as depth, max_by(a.folder, k) as owner from a join known using (folder) group by a.page_id, a.path),
+w as (select p.page_id, p.path, n.owner, n.depth, row_number() over (partition by p.path order by p.page_id desc) as newest from p left join n on n.page_id = p.page_id)
+select page_id, path, owner, depth from w where newest = 1""")
+def nearest_ancestor_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path with the nearest folder above it that carries a file, of equal paths the newest page."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path")).groupBy("path").agg(F.max("page_id").alias("page_id"))
+    folders = F.expr("transform(sequence(1, least(size(split(path, '/')), 11)), k -> struct(array_join(slice(split(path, '/'), 1, k), '/') as folder, cast(k as bigint) as depth))")
+    above = pages.select("page_id", "path", F.explode(folders).alias("f")).select("page_id", "path", "f.folder", "f.depth")
+    carries = F.col("folder").endswith(".com") | F.col("folder").endswith(".com/en") | F.col("folder").endswith(".org/fr")
+    known = above.where(carries).select("folder").distinct()
+    found = above.join(known, "folder").groupBy("page_id").agg(F.max(F.struct("depth", "folder")).alias("x"))
+    return pages.join(found, "page_id", "left").select("page_id", "path", F.col("x.folder").alias("owner"), F.col("x.depth").alias("depth"))

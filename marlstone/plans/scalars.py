@@ -9,15 +9,6 @@ def days_from_civil(d):
     return f"select o_orderkey, {d.day('o_orderdate')} as days, cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m, cast(day(o_orderdate) as bigint) as dd from orders"
 
 
-@sql_query("strftime_events")
-def strftime_events(d):
-    """The common format directives."""
-    if d.spark:
-        one, two = "date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "date_format(ts, 'EEE MMM dd DDD yy')"
-        return f"select event_id, {one} as a, {two} as b, date_format(ts, 'hh:mm a') as c from events"
-    return "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as a, strftime(ts, '%a %b %d %j %y') as b, strftime(ts, '%I:%M %p') as c from events"
-
-
 @sql_query("age_days")
 def age_days(d):
     """Days from a date to a fixed day."""

@@ -94,11 +94,3 @@ with {CHAIN}, {depths(d)}, need as (select dd.root, max(dd.depth) as depth from
 select dd.id from dd join need on dd.root = need.root and dd.depth <= need.depth"""
 
 
-@sql_query("nearest_ancestor_attr")
-def nearest_ancestor_attr(d):
-    """Each path gets the attribute of its nearest prefix that has one."""
-    return """
-with p as (select page_id, url, length(url) - length(replace(url, '/', '')) as depth from pages),
-a as (select 'http' as prefix, 'web' as attr union all select 'https://', 'secure' union all select 'http://', 'plain'),
-j as (select page_id, attr, row_number() over (partition by page_id order by length(prefix) desc) as k from p join a on substr(url, 1, length(prefix)) = prefix)
-select p.page_id, j.attr from p left join j on p.page_id = j.page_id and j.k = 1"""

@@ -44,7 +44,8 @@ def test_fit_scale_is_never_worse_than_the_largest_magnitude():
     x = np.random.default_rng(1).normal(size=32)
     scale, codes = K.fit_scale(x, 4)
     plain = np.abs(x).max() / 7
-    assert ((codes * scale - x) ** 2).sum() <= ((np.clip(np.rint(x / plain), -7, 7) * plain - x) ** 2).sum() + 1e-12
+    plain = float(K.bf16(plain))
+    assert ((codes * scale - x) ** 2).sum() <= ((np.clip(np.rint(x / plain), -7, 7) * plain - x) ** 2).sum() + 1e-12 and float(K.bf16(scale)) == scale
     assert K.fit_scale(np.zeros(3), 4) == (0.0, pytest.approx([0, 0, 0]))
 
 

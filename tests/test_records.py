@@ -98,3 +98,20 @@ def test_streamed_calls_add_up_to_the_whole_parse():
                 content = "".join(t for kind, _, t in events if kind == "content")
                 assert [(names[k], arguments[k]) for k in sorted(names)] == want.calls, (style, text, step)
                 assert content == (want.content or ""), (style, text, step)
+
+
+def test_redact_private():
+    for text, want in (("see /home/ann/x and /Users/bob", "see ~/x and ~"), ("http://u:p@h/x a@b", "http://<redacted>@h/x a@b"), ("http://h/x@y", "http://h/x@y"), ("hf_abcdefgh1 xhf_abcdefgh1", "hf_<redacted> xhf_abcdefgh1"),
+                       ("hf_short", "hf_short"), ("Authorization: Basic abcdefgh12", "Authorization: Basic <redacted>"), ("bEaReR short", "bEaReR short"), ('"api-key": "k1"', '"api-key": "<redacted>"'),
+                       ("token: abc", "token: abc"), ("TOKEN=abcdefgh", "TOKEN=<redacted>"), ("tokens=abcdefgh", "tokens=abcdefgh"), ("password 12345", "password 12345"), ("passwd=none;x", "passwd=none;x"),
+                       ("secret='a,b'", "secret='<redacted>,b'"), ("mysecret=abc", "mysecret=abc"), ("", "")):
+        assert R.redact_private(text) == want, text
+
+
+def test_time_text(spark):
+    row = spark.sql("select timestamp'2024-02-05 00:04:09' as t")
+    forms = {"%Y at %H%% o'clock": "2024 at 00% o'clock", "%e|%d|%j|%I %p": " 5|05|036|12 AM", "%a %A %b %B %y": "Mon Monday Feb February 24", "": ""}
+    assert list(row.select(*(R.time_text("t", f) for f in forms)).first()) == list(forms.values())
+    for bad in ("%Q", "%", "%Y %"):
+        with pytest.raises(ValueError):
+            R.time_text("t", bad)
