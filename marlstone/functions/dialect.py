@@ -80,9 +80,6 @@ class Dialect:
             return f"case when ({high}) >= ({low}) then sequence(cast({low} as bigint), cast({high} as bigint)) else cast(array() as array<bigint>) end"
         return f"range(({low})::bigint, ({high})::bigint + 1)"
 
-    def bool_and(self, a: str) -> str:
-        return f"bool_and({a})"
-
     def xor(self, a: str, b: str) -> str:
         return f"(({a}) ^ ({b}))" if self.spark else f"xor({a}, {b})"
 
@@ -95,10 +92,6 @@ class Dialect:
     def split(self, a: str, sep: str) -> str:
         return f"split({a}, '{sep}')" if self.spark else f"string_split({a}, '{sep}')"
 
-    @property
-    def newline(self) -> str:
-        return "chr(10)"
-
     @property
     def logits(self) -> str:
         """Embedding entries as (row_id, token_id, logit)."""

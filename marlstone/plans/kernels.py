@@ -284,6 +284,17 @@ def stream_event_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drain(S.histogram(S.read_events(spark, sf_dir)), "complete", "histogram")
 
 
+@query("stream_sessions", """
+with e as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) >= interval 30 minutes as gap from events),
+s as (select user_id, ts, sum(coalesce(gap, true)::int) over (partition by user_id order by ts rows unbounded preceding) as k from e),
+g as (select user_id, k, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from s group by user_id, k)
+select user_id, epoch_us(first_ts) as start_us, n from g where last_ts + interval 30 minutes <= (select max(ts) - interval 1 day from events)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user by a stream: those that the watermark has closed."""
+    closed = S.drain(S.sessions(S.read_events(spark, sf_dir)), "append", "sessions")
+    return closed.select("user_id", "start_us", "n")
+
+
 @query("stream_first_uses", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by user_id, event_type")
 def stream_first_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each (user, type) once, by a stream that drops replays."""

@@ -74,14 +74,19 @@ def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(_events(spark, sf_dir, text), "text", lambda v: {"digest": [R.canonical_digest(R.parse_strict(x), "plan_digest") for x in v]}, "digest string", ("event_id",))
 
 
-@query("checksums", """
-with t as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
-b as (select doc_id, text, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::uhugeint) as b from t)
-select doc_id, sha256(text) as sha256, lpad(lower(format('{:x}', list_reduce(list_prepend(14695981039346656037::uhugeint, b), lambda x, y: (xor(x, y) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint)), 16, '0') as fnv1a from b""")
+@query("checksums", "select doc_id, sha256(coalesce(text, '')) as sha256 from documents")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 and 64-bit FNV-1a of each text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    return apply(d, "text", lambda v: {"fnv1a": [f"{x:016x}" for x in R.fnv1a([t.encode() for t in v]).tolist()]}, "fnv1a string", ("doc_id", "sha256"))
+    """SHA-256 of each text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
+@query("fnv1a_props", """
+with t as (select event_id, hex(encode(props)) as h from events),
+b as (select event_id, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::uhugeint) as b from t)
+select event_id, lpad(lower(format('{:x}', list_reduce(list_prepend(14695981039346656037::uhugeint, b), lambda x, y: (xor(x, y) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint)), 16, '0') as fnv1a from b""")
+def fnv1a_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit FNV-1a of each event's properties."""
+    return apply(_events(spark, sf_dir, "props"), "text", lambda v: {"fnv1a": [f"{x:016x}" for x in R.fnv1a([(t or "").encode() for t in v]).tolist()]}, "fnv1a string", ("event_id",))
 
 
 @query("crc32c_texts")

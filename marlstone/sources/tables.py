@@ -9,9 +9,3 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table as a DataFrame; column pruning and filters reach its scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Register tables as temporary views of the same names (all of them by default)."""
-    for name in names or TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -58,7 +58,7 @@ def newest(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
     return timed.groupBy("user_id").applyInPandasWithState(step, schema, "us long, event_id long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, mode: str, name: str, keep: int | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over all that is there, into Parquet under the shared folder; read the result."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/marlstone/stream-{name}-{uuid.uuid4().hex}"
