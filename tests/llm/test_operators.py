@@ -1,7 +1,9 @@
 """Operators of marlstone.llm against libraries and brute force, and on the awkward rows."""
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import zlib
 
@@ -10,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import (common, decontaminate, language_model, near_duplicates, packing, quality, secrets,
+from marlstone.llm import (common, decontaminate, language_model, near_duplicates, packing, quality, ranked_merge, secrets,
                            substring_dedup, token_counts, url_filter, warc)
 from marlstone.llm.run_index import NONE, RunIndex
 
@@ -228,6 +230,31 @@ def test_secrets_in_other_forms():
     assert [k for k, _, _ in secrets.structural_spans(f"{head}.bm8ganNvbiBoZXJl.c2ln and {head}..c2lnbmF0dXJl")] == ["signed_token"] * 2
 
 
+def test_secrets_of_every_width_in_linear_time():
+    import base64
+    import time
+
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1] * 40)) for k in range(8)))
+    for code in (base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()):
+        for width in (1, 16, 24, 64, 1000):
+            lines = "\n".join(code[k:k + width] for k in range(0, len(code), width))
+            text = f"x -----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY----- y"
+            assert [k for k, _, _ in secrets.structural_spans(text)] == ["pem_key"] and secrets.redact(text) == "x [SECRET] y"
+        assert [s for s in secrets.structural_spans(f"a {code} b")] == [("der_key", 2, 2 + len(code))]
+    block = lambda body: f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    cipher = base64.b64encode(bytes(range(64))).decode()
+    assert not secrets.structural_spans(block("Note: x\n\n" + "a" * 48))
+    assert not secrets.structural_spans(block("Proc-Type: 4,ENCRYPTED\n\n" + cipher))
+    assert secrets.structural_spans(block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + cipher))
+    for head in ('{ "alg": "HS256" }', '{\n "typ": "JWT", "alg": "none"}', '{"alg":"RS256"}'):
+        part = base64.urlsafe_b64encode(head.encode()).decode().rstrip("=")
+        assert [k for k, _, _ in secrets.structural_spans(f"{part}.e30.c2ln")] == ["signed_token"]
+    begin = time.perf_counter()
+    for text in ("-----BEGIN PRIVATE KEY-----" + "\n" * 10_000_000, "-----BEGIN PRIVATE KEY-----\n" * 200_000, ("MIIEpAIBAAKCAQEA" * 4 + "\n") * 20_000, "30" * 2_000_000, "eyJ" * 1_000_000, "secret" + " " * 3_000_000, "a-_" * 1_000_000):
+        secrets.redact(text)
+    assert time.perf_counter() - begin < 30
+
+
 def test_quality_rules(docs, empty):
     rows = {str(r.doc_id): r for r in quality.quality_rules(docs).collect()}
     for i, t, *_ in ROWS:
@@ -250,6 +277,37 @@ def test_url_filter(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, tie).collect()}[0] == "block"
 
 
+def test_deep_urls(spark, empty):
+    deep = "http://" + "a." * 3000 + "example.com/de/" + "x/" * 100_000
+    pages = spark.createDataFrame([(1, deep), (2, "http://net" + "/" * 50_000), (3, "ftp://example.net/en"), (4, "http://EXAMPLE.NET/en//x?y"), (None, None), (None, deep), (5, "://net/"), (6, "")], "page_id long, url string")
+    got = sorted((str(r.page_id), r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark)).collect())
+    assert got == sorted([("1", "example.com/de/", "block"), ("2", "net/", "block"), ("3", "net/", "block"), ("4", "example.net/en/", "allow"), ("None", None, "allow"), ("None", "example.com/de/", "block"), ("5", "net/", "block"), ("6", None, "allow")])
+    none = spark.createDataFrame([], "rule string, verdict string")
+    assert {r.verdict for r in url_filter.judge_urls(pages, none).collect()} == {"allow"}
+    assert url_filter.judge_urls(empty.selectExpr("doc_id as page_id", "text as url"), url_filter.rule_table(spark)).count() == 0
+
+
+def test_warc_reader(spark, tmp_path):
+    import gzip
+
+    record = lambda n, length=None: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: u{n}\r\nContent-Length: {n if length is None else length}\r\n\r\n".encode() + b"x" * n + b"\r\n\r\n"
+    plain = record(3) + record(4, "many") + record(5) + record(6, -1) + record(7)
+    members = [gzip.compress(record(n)) for n in (3, 300, 5)]
+    hurt = members[1][:20] + b"\0\0\0\0" + members[1][24:]
+    (tmp_path / "plain.warc").write_bytes(plain)
+    (tmp_path / "zipped.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "hurt.warc.gz").write_bytes(members[0] + hurt + members[2])
+    (tmp_path / "cut.warc").write_bytes(record(9)[:-8])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "noise.warc").write_bytes(b"noise\r\nWARC/1.0 noise")
+    found = collections.defaultdict(list)
+    for r in warc.read_warc(spark, str(tmp_path)).collect():
+        assert (tmp_path / r.file.rsplit("/", 1)[-1]).exists() and r.type == "resource"
+        found[r.file.rsplit("/", 1)[-1]].append((r.target, len(r.block)))
+    assert found == {"plain.warc": [("u3", 3), ("u5", 5), ("u7", 7)], "zipped.warc.gz": [("u3", 3), ("u300", 300), ("u5", 5)], "hurt.warc.gz": found["hurt.warc.gz"], "cut.warc": [("u9", 5)]}
+    assert found["hurt.warc.gz"][0] == ("u3", 3) and found["hurt.warc.gz"][-1] == ("u5", 5)
+
+
 def test_warc_audit(spark):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "é" * (k % 50)) for k in range(700)] + [(None, None, None), (5, "http://x/5", "é" * 5)], "page_id long, url string, html string")
     records = warc.render(pages)
@@ -262,19 +320,71 @@ def test_warc_audit(spark):
     assert [len(b.decode()) for _, _, _, b in warc.parse(data)] == [0, 1, 2, 3, 4]
 
 
-def test_language_model(docs, spark):
-    labels = spark.createDataFrame([(6, 1, 0), (7, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
-    counts = {r.code: (r.target, r.background) for r in language_model.trigram_counts(docs, labels).collect()}
-    want = collections.Counter()
-    for _, t, *_ in ROWS:
-        b = b"\0\0" + (t or "").encode()
-        want.update(b[k - 2] << 16 | b[k - 1] << 8 | b[k] for k in range(2, len(b)))
-    assert {k: n for k, (_, n) in counts.items()} == dict(want)
-    code = np.array(sorted(want))
-    table = language_model.losses(code, np.array([want[k] for k in code.tolist()]))
-    assert np.allclose(np.exp2(-table.reshape(-1, 256)[:500].astype(float)).sum(1), 1, atol=1e-3)
-    rows = {str(r.doc_id): r for r in language_model.cross_entropy_difference(docs, labels).collect()}
-    assert rows["0"].score is None and rows["6"].score < rows["5"].score
+def test_language_model(docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BATCH_BYTES", 2000)  # several batches
+    k, limit = language_model.K, 60
+    monkeypatch.setattr(language_model, "vocabulary", functools.partial(language_model.vocabulary, most=limit))
+    labels = spark.createDataFrame([(6, 1, 0), (7, 0, 0), (6, 0, 0), (9, 1, 0), (12, 1, 1), (None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    got = collections.defaultdict(list)
+    for r in language_model.cross_entropy_difference(docs, labels).collect():
+        got[r.doc_id].append(r)
+    low = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    often = collections.Counter(w for _, t, *_ in ROWS for w in low(t))
+    import xxhash
+
+    order = sorted(often, key=lambda w: (-often[w], np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64)))
+    known = set(order[:limit])
+    assert len(order) > limit
+    seqs = [(i, ["<s>", *(w if w in known else "?" for w in low(t)), "</s>"]) for i, t, *_ in ROWS if low(t)]
+    size = lambda rows: sum(len((t or "").encode()) for _, t, *_ in rows)
+    good = {6, 9, 12}
+    hit, total = size([r for r in ROWS if r[0] in good]), size(ROWS)
+    share = language_model.DRAWS if 2 * hit >= total else language_model.DRAWS * hit // (total - hit)
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    drawn = {r.doc_id: r.x < share for r in docs.select("doc_id", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(language_model.DRAWS)).alias("x")).collect()}
+    member = {"corpus": lambda i: True, "target": lambda i: i in good, "background": lambda i: i not in good and drawn[i]}
+    assert any(member["background"](i) for i, _ in seqs)
+    one = {m: collections.Counter(w for i, s in seqs if f(i) for w in s) for m, f in member.items()}
+    two = {m: collections.Counter(x for i, s in seqs if f(i) for x in zip(s, s[1:])) for m, f in member.items()}
+    n = sum(len(s) - 1 for _, s in seqs)
+    for i, s in seqs:
+        mine, pairs, sums = collections.Counter(s), collections.Counter(zip(s, s[1:])), collections.Counter()
+        for v, w in zip(s, s[1:]):
+            p = (one["corpus"][w] - mine[w] + k / (1 << language_model.BITS)) / (n - len(s) + 1 + k)
+            for m in ("corpus", "target", "background"):
+                here = member[m](i)
+                q = (two[m][v, w] - here * pairs[v, w] + k * p) / (one[m][v] - here * mine[v] + k)
+                sums[m] -= math.log2(q)
+                p = q if m == "corpus" else p
+        want = [sums[m] / (len(s) - 1) for m in language_model.MODELS]
+        for r in got[i]:
+            assert r.n_tokens == len(s) - 2 and np.allclose([r.target_loss, r.background_loss, r.corpus_loss, r.score], [*want, want[0] - want[1]], atol=2e-6)
+    assert got[0][0].n_tokens == 0 and got[0][0].score is None and len(got[6]) == 2
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert language_model.cross_entropy_difference(empty, labels).count() == 0
+    assert language_model.cross_entropy_difference(docs, none).count() == len(ROWS)
+    x = np.array([0, 1, 255, 256, 2**32 - 1])
+    assert language_model.unplanes(language_model.planes(x), 5, 0).tolist() == x.tolist()
+
+
+def test_long_words():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    count, words = token_counts.counter("piece_bpe_32k.model"), packing.encoder("word_bpe_49k.json")
+    texts = ["".join(random.choice(some) for _ in range(n)) for n in (1500, 60_000) for some in ("abcdefghijklmnopqrstuvwxyz", "a", ["the", "ing", "er"], "日本語中文字", "0123456789abcdef")]
+    for t in [*texts, texts[0] + " " + texts[0], "x" * 1024 + " b", ""]:
+        assert count.count([t]) == [len(library.encode(t))]
+        assert words.encode([t])[0] == np.asarray(words.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(len(w) <= token_counts.LONGEST for w in count.known) and all(len(w) <= packing.LONGEST for w in words.parts)
+    for _ in range(60):
+        n = [random.randint(0, 40) for _ in range(5)]
+        code = np.array([random.choice(b"aetion") for _ in range(sum(n))], np.int64)
+        symbols = words.inner[code]
+        left, counts = ranked_merge.merge(symbols, np.array(n), words.table)
+        ends = np.cumsum(n)
+        assert left.tolist() == [x for e, m in zip(ends, n) for x in ranked_merge.merge_long(symbols[e - m:e], words.table).tolist()]
+        assert counts.sum() == len(left)
 
 
 def test_components(spark):
