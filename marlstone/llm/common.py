@@ -16,6 +16,8 @@ from ..session import shared_dir
 
 #: Ids that are broadcast at most, 8 bytes each; more of them are joined by shuffle.
 FEW_IDS = 1 << 22
+#: Bytes of text for which a shuffle has one partition, and its most partitions.
+TASK_BYTES, MOST_PARTITIONS = 128 << 20, 100_000
 #: Bytes of text that one step inside a Python worker holds in decoded form.
 STEP_BYTES = 4 << 20
 
@@ -70,6 +72,13 @@ def only(documents: DataFrame, ids: DataFrame, count: int, key: str = "doc_id")
     return documents.join(F.broadcast(ids) if count <= FEW_IDS else ids.hint("merge"), key, "left_semi")
 
 
+def partitions(spark: SparkSession, size: int, most: int) -> int:
+    """Partitions for ``size`` bytes of text dealt into ``most`` parts: the session's number at least (or two a core), then
+    one for each TASK_BYTES, up to MOST_PARTITIONS."""
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return max(1, min(most, max(least, min(size // TASK_BYTES, MOST_PARTITIONS))))
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Hashes are dealt by their ranges, so that order by hash is order by bucket."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)

@@ -12,7 +12,7 @@ Windows of an anchor that more than ``hot`` batches have are dealt out one by on
 that no bucket gathers a frequent anchor's segments.
 
 The texts are exchanged once (by a hash of doc_id); the three passes over batches share that exchange. The
-number of partitions is the session's, whatever the number of batches and buckets.
+number of partitions goes with the bytes up to a bound (``common.partitions``), not with batches and buckets.
 """
 
 from __future__ import annotations
@@ -257,7 +257,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
     least = work.save(prints.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "least")
     total = prints.agg(F.sum("n_bytes")).first()[0] or 0
     batches = buckets = max(1, -(-total // BATCH_BYTES))
-    partitions = min(batches, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    partitions = common.partitions(spark, total, batches)
 
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     rows = docs.where("doc_id is not null").select(batch, "doc_id", F.sha2("text", 256).alias("key"), "text", F.lit(False).alias("first"))
@@ -372,10 +372,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool =
                         "kept_sha256": hashlib.sha256(left).hexdigest()} | ({"kept": left} if keep_text else {}))
         return _pack(out, pa.schema(names))
 
+    dealt = lambda d: d.repartition(partitions, "bucket").groupBy("bucket")
     sketch = rows.groupBy("batch").applyInArrow(first_pass, kinds)
-    lists = sketch.groupBy("bucket").applyInArrow(which_shared, kinds)
+    lists = dealt(sketch).applyInArrow(which_shared, kinds)
     sent = rows.groupBy("batch").cogroup(lists.groupBy("batch")).applyInArrow(second_pass, kinds)
-    answers = sent.groupBy("bucket").applyInArrow(indexed, kinds)
+    answers = dealt(sent).applyInArrow(indexed, kinds)
     found = lists.select("*", F.lit(0).alias("kind")).unionAll(answers.select("*", F.lit(1).alias("kind")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     main = rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(third_pass, schema)
