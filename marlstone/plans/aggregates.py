@@ -181,8 +181,8 @@ from k join best on k.row_id = best.row_id"""
 def choice_accuracy(d):
     """Accuracy of the largest score and of the largest score per length; the first choice on ties."""
     return f"""
-with c as (select row_id, token_id, logit, logit / (1 + token_id % 3) as norm from {d.logits} l where token_id < 4),
-b as (select row_id, row_id % 4 as gold, row_number() over (partition by row_id order by logit desc, token_id) as a, row_number() over (partition by row_id order by norm desc, token_id) as n, token_id from c)
+with c as (select row_id, token_id, logit, logit / (1 + token_id % 3) as norm from {d.logits} l),
+b as (select row_id, row_id % 64 as gold, row_number() over (partition by row_id order by logit desc, token_id) as a, row_number() over (partition by row_id order by norm desc, token_id) as n, token_id from c)
 select count(distinct row_id) as items, cast(sum(case when a = 1 and token_id = gold then 1 else 0 end) as bigint) as acc, cast(sum(case when n = 1 and token_id = gold then 1 else 0 end) as bigint) as acc_norm from b"""
 
 

@@ -17,26 +17,28 @@ m as (select delim, pref, fields, n, sum(n) over (partition by delim) as total,
 vote as (select delim, pref, fields, n / cast(total as double) as share from m where k = 1)"""
 
 
-def shape(d, lines: str) -> str:
+def shape(d, lines: str, order: str) -> str:
+    """Shape of lines; whether all are bracketed or tagged is judged on the first 64 in ``order``."""
     return f"""
 with {votes(lines)},
 f as (select count(*) as n, sum(case when {d.like('line', '^[{].*[}]$')} then 1 else 0 end) as n_json, sum(case when line like 'INSERT INTO%' then 1 else 0 end) as n_sql,
-  sum(case when {d.like('line', '^[(].*[)][,;]?$')} then 1 else 0 end) as n_tuple, sum(case when line like '[%' or line like '<%' then 1 else 0 end) as n_tag, sum(case when instr(line, chr(0)) > 0 then 1 else 0 end) as n_nul from {lines} y where line <> ''),
+  sum(case when {d.like('line', '^[(].*[)][,;]?$')} then 1 else 0 end) as n_tuple, sum(case when instr(line, chr(0)) > 0 then 1 else 0 end) as n_nul from {lines} y where line <> ''),
+first as (select sum(case when line like '[%' or line like '<%' then 0 else 1 end) as n_bare from (select line from {lines} x where line <> '' order by {order} limit 64) h),
 best as (select max(case when share >= 0.98 and fields between 2 and 64 then fields end) as fine, max(case when share >= 0.9 and fields between 2 and 64 then fields end) as ok from vote)
-select cast(n as bigint) as n_lines, case when n_nul > 0 then 'none' when n_sql > 0 then 'sql' when n >= 8 and n_json >= 0.9 * n then 'json' when n_tag = n then 'none' when n_tuple >= 0.9 * n then 'sql' when n < 8 then 'none'
-  when coalesce(fine, ok) is not null then 'delimited' else 'template' end as shape, cast(coalesce(fine, ok) as bigint) as fields from f cross join best"""
+select cast(n as bigint) as n_lines, case when n_nul > 0 then 'none' when n_sql > 0 then 'sql' when n >= 8 and n_json >= 0.9 * n then 'json' when n_bare = 0 then 'none' when n_tuple >= 0.9 * n then 'sql' when n < 8 then 'none'
+  when coalesce(fine, ok) is not null then 'delimited' else 'template' end as shape, cast(coalesce(fine, ok) as bigint) as fields from f cross join best cross join first"""
 
 
 @sql_query("detect_shape_events_csv")
 def detect_shape_events_csv(d):
     """Shape of rendered event lines."""
-    return shape(d, csv_lines(d))
+    return shape(d, csv_lines(d), "line_no")
 
 
 @sql_query("detect_shape_docs")
 def detect_shape_docs(d):
     """Shape of the lines of all documents."""
-    return shape(d, d.doc_lines)
+    return shape(d, d.doc_lines, "doc_id, pos")
 
 
 @sql_query("delimiter_vote")
@@ -53,15 +55,6 @@ select line_no, case when {d.size('p')} = 4 then {d.at('p', '1')} end as c1, cas
 from (select line_no, line, {d.split('line', ',')} as p from {csv_lines(d)} x) y"""
 
 
-@sql_query("sql_dump_tuples")
-def sql_dump_tuples(d):
-    """Tuples of the majority arity from INSERT statements."""
-    s = (lambda x: f"cast({x} as string)") if d.spark else (lambda x: f"cast({x} as varchar)")
-    stmt = f"concat('INSERT INTO t VALUES (', {s('n_nationkey')}, ',', {s('n_regionkey')}, '),(', {s('n_nationkey + 100')}, ',', {s('n_regionkey')}, ');')"
-    rows = d.explode(f"(select n_nationkey, {d.all(stmt, '[(][^()]*[)]')} as t from nation) q", "t", "n_nationkey", "pos", "tup")
-    return f"select n_nationkey, pos, cast({d.get('tup', '[(]([0-9]+),')} as bigint) as a, cast({d.get('tup', ',([0-9]+)[)]')} as bigint) as b from {rows} z"
-
-
 @sql_query("log_templates")
 def log_templates(d):
     """Lines with every token that holds a digit made a hole; templates by count."""

@@ -139,7 +139,7 @@ def activation_values(d):
     """SwiGLU's gate, GELU by tanh, softplus and its root."""
     return f"""
 select row_id, token_id, round(logit / (1 + exp(-logit)), 6) as silu, round(0.5 * logit * (1 + tanh(0.7978845608028654 * (logit + 0.044715 * logit * logit * logit))), 6) as gelu,
-  round(ln(1 + exp(logit)), 6) as softplus, round(sqrt(ln(1 + exp(logit))), 6) as root from {d.logits} l where token_id < 8"""
+  round(ln(1 + exp(logit)), 6) as softplus, round(sqrt(ln(1 + exp(logit))), 6) as root from {d.logits} l"""
 
 
 @sql_query("bits_by_use")

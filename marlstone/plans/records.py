@@ -251,3 +251,76 @@ def nearest_ancestor_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = above.where(carries).select("folder").distinct()
     found = above.join(known, "folder").groupBy("page_id").agg(F.max(F.struct("depth", "folder")).alias("x"))
     return pages.join(found, "page_id", "left").select("page_id", "path", F.col("x.folder").alias("owner"), F.col("x.depth").alias("depth"))
+
+
+_DUMP = """concat('INSERT INTO t VALUES (', n_nationkey, ',''', n_name, ', (x)'',', n_regionkey, '),(', n_nationkey + 100, ',''a''''b'',NULL)', if(n_nationkey % 5 = 0, ',(1,2)', ''), ';')"""
+
+
+@query("sql_dump_tuples", """
+with t as (select n_nationkey, 0 as pos, n_nationkey::varchar as c1, n_name || ', (x)' as c2, n_regionkey::varchar as c3 from nation union all select n_nationkey, 1, (n_nationkey + 100)::varchar, 'a''b', null from nation)
+select n_nationkey, pos::bigint as pos, c1, c2, c3 from t""")
+def sql_dump_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples of the majority arity from INSERT statements: quotes doubled in strings, NULL null, other tuples left out."""
+    dump = table(spark, sf_dir, "nation").select("n_nationkey", F.expr(_DUMP).alias("text"))
+    one = "'(?:[^']|'')*'"
+    tuples = F.regexp_extract_all("text", F.lit(f"\\(((?:[^()']|{one})*)\\)"), F.lit(1))
+    rows = dump.select("n_nationkey", F.posexplode(tuples).alias("pos", "tup"))
+    fields = rows.withColumn("f", F.regexp_extract_all("tup", F.lit(f"({one}|[^,']+)"), F.lit(1))).withColumn("n", F.size("f"))
+    usual = fields.groupBy("n").agg(F.count("*").alias("c")).agg(F.max_by("n", F.struct("c", "n")).alias("usual"))
+    plain = lambda k: F.when(F.col("f")[k] != "NULL", F.when(F.col("f")[k].startswith("'"), F.replace(F.expr(f"substring(f[{k}], 2, length(f[{k}]) - 2)"), F.lit("''"), F.lit("'"))).otherwise(F.trim(F.col("f")[k])))
+    kept = fields.join(F.broadcast(usual), F.col("n") == F.col("usual"))
+    return kept.select("n_nationkey", F.col("pos").cast("long").alias("pos"), *(plain(k).alias(f"c{k + 1}") for k in range(3)))
+
+
+@query("spans_to_json", """
+select user_id, json_object('resourceSpans', json_array(json_object('resource', json_object('attributes', json_array(json_object('key', 'service.name', 'value', json_object('stringValue', 'u"' || user_id)))),
+  'scopeSpans', json_array(json_object('scope', json_object('name', 'requests'), 'spans', to_json(list(json_object('traceId', lpad(hex(user_id), 32, '0'), 'spanId', lpad(hex(event_id), 16, '0'), 'name', event_type, 'kind', 2,
+    'startTimeUnixNano', (epoch_us(ts) * 1000)::varchar, 'attributes', json_array(json_object('key', 'value', 'value', json_object('doubleValue', event_id % 8 + 0.5)))) order by event_id)))))))::varchar as doc
+from events group by user_id""")
+def spans_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of each user as one nested document."""
+    attribute = lambda key, kind, value: F.struct(F.lit(key).alias("key"), F.struct(value.alias(kind)).alias("value"))
+    pad = lambda c, n: F.lpad(F.hex(c), n, "0")
+    span = F.struct("event_id", F.struct(pad("user_id", 32).alias("traceId"), pad("event_id", 16).alias("spanId"), F.col("event_type").alias("name"), F.lit(2).alias("kind"),
+                                         F.expr("cast(unix_micros(cast(ts as timestamp)) * 1000 as string)").alias("startTimeUnixNano"), F.array(attribute("value", "doubleValue", F.col("event_id") % 8 + 0.5)).alias("attributes")).alias("span"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(span)).alias("s"))
+    scope = F.struct(F.struct(F.lit("requests").alias("name")).alias("scope"), F.transform("s", lambda x: x["span"]).alias("spans"))
+    resource = F.struct(F.array(attribute("service.name", "stringValue", F.concat(F.lit('u"'), F.col("user_id").cast("string")))).alias("attributes"))
+    return g.select("user_id", F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))).alias("doc"))
+
+
+@query("fp8_decode", """
+with b as (select l_orderkey, l_linenumber, l_partkey % 256 as b, l_linenumber as block from lineitem),
+p as (select *, case when b >= 128 then -1 else 1 end as s, b % 128 // 8 as e, b % 8 as m from b)
+select l_orderkey, l_linenumber, b, case when e = 15 and m = 7 then null else round(s * case when e = 0 then m / 8.0 * pow(2.0, -6) else (1 + m / 8.0) * pow(2.0, e - 7) end * pow(2.0, block - 3), 9) end as value, e = 15 and m = 7 as refused from p""")
+def fp8_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of E4M3 bytes (a sign, four bits of exponent with bias 7, three of fraction) times their block's scale;
+    a byte that is no finite number is refused."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("b"), F.col("l_linenumber").alias("block"))
+    scales = spark.createDataFrame([(k, 2.0 ** (k - 3)) for k in range(1, 8)], "block int, scale double")
+    e, m = F.expr("b % 128 div 8"), F.col("b") % 8
+    size = F.when(e == 0, m / 8 * 2.0**-6).otherwise((1 + m / 8) * F.pow(F.lit(2.0), e - 7))
+    bad = (e == 15) & (m == 7)
+    value = F.when(~bad, F.round(F.when(F.col("b") >= 128, -size).otherwise(size) * F.col("scale"), 9))
+    return rows.join(F.broadcast(scales), "block").select("l_orderkey", "l_linenumber", "b", value.alias("value"), bad.alias("refused"))
+
+
+#: Templates of conversations: (opening of a turn, its end, opening of the reply), {r} is the role.
+TEMPLATES = {"tags": ("<|{r}|>", "", ""), "lines": ("<|im_start|>{r}\n", "<|im_end|>\n", "<|im_start|>assistant\n"), "headers": ("<|start_header_id|>{r}<|end_header_id|>\n\n", "<|eot_id|>", "<|start_header_id|>assistant<|end_header_id|>\n\n")}
+
+
+@query("render_conversation", """
+with t(template, a, b, z) as (values ('tags', '<|{r}|>', '', ''), ('lines', '<|im_start|>{r}' || chr(10), '<|im_end|>' || chr(10), '<|im_start|>assistant' || chr(10)),
+  ('headers', '<|start_header_id|>{r}<|end_header_id|>' || chr(10) || chr(10), '<|eot_id|>', '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)))
+select conv_id, template, string_agg(replace(a, '{r}', role) || trim(text) || b, '' order by turn, role, text) || any_value(z) as prompt from conversations, t group by conv_id, template""")
+def render_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation in order, trimmed, in three templates, with the opening of the reply."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.trim("text").alias("text"))))
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+
+    def prompt(name: str):
+        opening, end, reply = (x.split("{r}") for x in TEMPLATES[name])
+        parts = F.transform("turns", lambda t: F.concat(F.lit(opening[0]), t["role"], F.lit(opening[1]), t["text"], F.lit(end[0])))
+        return F.struct(F.lit(name).alias("template"), F.concat(F.array_join(parts, ""), F.lit(reply[0])).alias("prompt"))
+
+    return g.select("conv_id", F.explode(F.array(*map(prompt, TEMPLATES))).alias("x")).select("conv_id", "x.template", "x.prompt")

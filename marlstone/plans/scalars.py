@@ -47,15 +47,6 @@ def stop_cut(d):
     return f"select doc_id, substr(text, 1, cast(least(least({p(' and ')}, {p(' de ')}), length(text) + 1) - 1 as int)) as kept from documents"
 
 
-@sql_query("render_conversation")
-def render_conversation(d):
-    """Turns of a conversation in order, in one template."""
-    part = "concat('<|', role, '|>', text)"
-    if d.spark:
-        return f"select conv_id, array_join(transform(array_sort(collect_list(struct(turn, {part} as t))), x -> x.t), '') as prompt from conversations group by conv_id"
-    return f"select conv_id, string_agg({part}, '' order by turn, {part}) as prompt from conversations group by conv_id"
-
-
 @sql_query("token_counts")
 def token_counts(d):
     """Tokens of a blank-separated text, and its bytes."""
@@ -63,15 +54,6 @@ def token_counts(d):
     return f"select doc_id, {d.size(d.words('text'))} as tokens, cast({n} as bigint) as bytes from documents"
 
 
-@sql_query("fp8_decode")
-def fp8_decode(d):
-    """Values of E4M3 bytes: sign, four bits of exponent with bias 7, three of mantissa."""
-    return f"""
-with b as (select l_orderkey, l_linenumber, l_partkey % 256 as b from lineitem),
-p as (select l_orderkey, l_linenumber, b, case when b >= 128 then -1.0 else 1.0 end as s, {d.idiv('b % 128', '8')} as e, b % 8 as m from b)
-select l_orderkey, l_linenumber, b, case when e = 15 and m = 7 then null when e = 0 then round(s * m / 8.0 * power(2.0, -6), 9) else round(s * (1 + m / 8.0) * power(2.0, e - 7), 9) end as value from p"""
-
-
 @sql_query("capacity_users")
 def capacity_users(d):
     """Bytes per token and how many users fit a device."""
@@ -101,13 +83,6 @@ z as (select p_partkey, v, u, floor(v / u) as f, v / u - floor(v / u) as r from
 select p_partkey, round((f + case when r > 0.5 or (r = 0.5 and f % 2 = 1) then 1 else 0 end) * u, 6) as value from z"""
 
 
-@sql_query("spans_to_json")
-def spans_to_json(d):
-    """Spans as JSON documents."""
-    s = (lambda x: f"cast({x} as string)") if d.spark else (lambda x: f"cast({x} as varchar)")
-    return f"""select event_id, concat('{{"traceId":"', {s('user_id')}, '","name":"', event_type, '","startTimeUnixNano":"', {s(d.epoch_us('ts') + ' * 1000')}, '"}}') as span from events"""
-
-
 @sql_query("py_json")
 def py_json(d):
     """Rows as JSON with sorted keys and the separators of a common library."""
