@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 from .ranked_merge import PairTable, merge
 
+#: Rows of the plan that are broadcast at most, 40 bytes each; a longer plan is joined by shuffle.
+FEW_ROWS = 1 << 20
 #: Parts and words a worker remembers, and the longest of them.
 REMEMBER, LONGEST = 250_000, 256
 SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # words that need no Unicode rules beyond one-to-one lower case
@@ -257,8 +259,8 @@ def pack(documents: DataFrame, model: str = "word_bpe_49k.json", limit: int = 40
     Returns per piece (doc_id, piece, start, length, ids_crc32, sequence_id, offset). Null or empty
     text: one piece that holds the end id. A null doc_id stays null and is packed like any other;
     repeated rows are packed each; an empty table gives no rows. Only the histogram of lengths (at
-    most ``limit`` rows) reaches the driver; the plan that is broadcast has at most a few rows for
-    each length and pattern. Ranks are dealt by (length, scan partition), so no length is ever
+    most ``limit`` rows) reaches the driver; the plan has a few rows for each length and pattern, and is
+    broadcast only if it has FEW_ROWS or fewer. Ranks are dealt by (length, scan partition), so no length is ever
     gathered in one task.
     """
     spark: SparkSession = documents.sparkSession
@@ -274,5 +276,6 @@ def pack(documents: DataFrame, model: str = "word_bpe_49k.json", limit: int = 40
     rows = plan(histogram, limit)
     placed = spark.createDataFrame(rows, "length long, low long, high long, first long, offset long")
     ranked = cut.join(shares, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    at = ranked.join(F.broadcast(placed.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    placed = placed.withColumnRenamed("length", "of")
+    at = ranked.join(F.broadcast(placed) if len(rows) <= FEW_ROWS else placed, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return at.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
