@@ -280,8 +280,8 @@ def test_url_filter(spark):
 def test_deep_urls(spark, empty):
     deep = "http://" + "a." * 3000 + "example.com/de/" + "x/" * 100_000
     pages = spark.createDataFrame([(1, deep), (2, "http://net" + "/" * 50_000), (3, "ftp://example.net/en"), (4, "http://EXAMPLE.NET/en//x?y"), (None, None), (None, deep), (5, "://net/"), (6, "")], "page_id long, url string")
-    got = sorted((str(r.page_id), r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark)).collect())
-    assert got == sorted([("1", "example.com/de/", "block"), ("2", "net/", "block"), ("3", "net/", "block"), ("4", "example.net/en/", "allow"), ("None", None, "allow"), ("None", "example.com/de/", "block"), ("5", "net/", "block"), ("6", None, "allow")])
+    got = collections.Counter((str(r.page_id), r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark)).collect())
+    assert got == collections.Counter([("1", "example.com/de/", "block"), ("2", "net/", "block"), ("3", "net/", "block"), ("4", "example.net/en/", "allow"), ("None", None, "allow"), ("None", "example.com/de/", "block"), ("5", "net/", "block"), ("6", None, "allow")])
     none = spark.createDataFrame([], "rule string, verdict string")
     assert {r.verdict for r in url_filter.judge_urls(pages, none).collect()} == {"allow"}
     assert url_filter.judge_urls(empty.selectExpr("doc_id as page_id", "text as url"), url_filter.rule_table(spark)).count() == 0
