@@ -3,11 +3,12 @@
 1. A document's set of 5-word shingles is hashed with one function; the k least hashes are its sketch.
    Documents with one and the same set become one node at once.
 2. Retained values are joined through inverted lists. Ordered from the rarest on, two sketches that
-   share enough values must share one of their first ones, so only those are listed.
+   share enough values must share one of their first ones, so only those are listed. Sets that are
+   retained whole have lists of their own, of fewer values: a link tells how many each may miss.
 3. Lists of up to LIST nodes give candidate pairs. A longer list gives no pairs: its members are held
    against one pivot. Links among those near the pivot follow from their differences to it alone
-   (``_near_links``); those far from it are listed anew by sketches of their differences, until no list
-   is long: each round takes at least its pivots out of the lists.
+   (``_near_links``); those far from it are listed anew by what they have and it has not, until no list
+   is long: members that share one more list share one more value, which their next pivot has too.
 4. Candidates are filtered by the Jaccard estimate from the sketch of their union, and confirmed on
    full sets. Connected components follow.
 """
@@ -34,6 +35,8 @@ WORDS, K, LIST = 5, 48, 32
 FAR_SHARE = 0.15
 #: The least of ``percent`` for which FAR_SHARE holds.
 LEAST = 70
+#: Shingles of a far member up to which all that the pivot has not are retained, so that its lists stay few.
+WHOLE = 1 << 15
 #: Members of one pivot that meet a copy of its text in one group of rows.
 SHARE_OF_PIVOT = 512
 #: Members in the two sides of a block of ``_near_links``, and values of their differences, in the mean.
@@ -120,15 +123,22 @@ def _prints(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def _first_values(nodes: DataFrame, share: float) -> DataFrame:
-    """(key, sid, n, members): the rarest retained values of each node that others retain too."""
-    values = nodes.select("sid", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
+def _first_values(nodes: DataFrame, percent: int, share: float, whole: int) -> DataFrame:
+    """(key, sid, n, members): the rarest retained values of each node that others retain too.
+
+    Of linked x and y, each misses at most d = 1 - percent / 100 of its own n shingles in the other. Up to
+    ``whole`` shingles nothing is left out of ``sketch``, so nodes of that size are listed by d n + 1
+    values, among themselves (keys below 0). Nodes that a larger one may be linked with are listed by K values.
+    """
+    among = nodes.where(F.col("n") <= whole).select("sid", "n", F.lit(True).alias("all"), F.transform("sketch", F.bitwise_not).alias("sketch"))
+    other = nodes.where(100 * F.col("n") >= percent * (whole + 1)).select("sid", "n", F.lit(False).alias("all"), F.slice("sketch", 1, K).alias("sketch"))
+    values = among.unionAll(other).select("sid", "n", "all", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
     often = values.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = values.join(often, "key")
-    # m - floor(share m) + 1 of all values are listed; those that no other node has come first and need no list.
-    each = shared.groupBy("sid", "n", "m").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("found"))
-    room = F.col("m") - F.greatest(F.floor(share * F.col("m")), F.lit(1)) + 1 - (F.col("m") - F.size("found"))
-    each = each.withColumn("room", room.cast("int")).where("room > 0")
+    # All but the fewest that a link shares, and one more, are listed; those that no other node has come first and need no list.
+    each = shared.groupBy("sid", "n", "all", "m").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("found"))
+    most = F.when(F.col("all"), F.floor(F.col("n") * (100 - percent) / 100)).otherwise(F.col("m") - F.greatest(F.floor(share * F.col("m")), F.lit(1)))
+    each = each.withColumn("room", (most + 1 - (F.col("m") - F.size("found"))).cast("int")).where("room > 0")
     return each.select("sid", "n", F.explode(F.slice("found", 1, F.col("room"))).alias("v")).select(F.col("v.key").alias("key"), "sid", "n", F.col("v.members").alias("members"))
 
 
@@ -196,10 +206,11 @@ def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, perce
     """How members x of long lists differ from their pivots p: (p, sid, n, linked, near, delta, sketch).
 
     delta, of near members, is the symmetric difference of the sets of x and p. sketch, of far ones, is
-    the bottom-k sketch of N(x) = x - p, salted with p. For linked x and y, N(x) and N(y) differ in at
-    most d |x u y|, d = 1 - percent / 100; with more than far_new = d / 0.6 of each set new, their Jaccard
-    index is above (1.4 - d) / (2.6 - d), 0.47 or more, so sketches of N find the pair, and what many
-    members share with p no longer lists them.
+    N(x) = x - p, salted with p: all of it if x has up to WHOLE shingles, else the bottom-k sketch. For
+    linked x and y, N(x) misses at most d |x| values of N(y), d = 1 - percent / 100, and has more than
+    far_new = d / 0.6 of x, so the pair shares a value of N. N(x) and N(y) differ in at most d |x u y|: their
+    Jaccard index is above (1.4 - d) / (2.6 - d), 0.47 or more, so sketches of N find the pair as well,
+    and what many members share with p no longer lists them.
     """
     limit = bounds(percent)
 
@@ -219,7 +230,8 @@ def _refine(star: DataFrame, documents: DataFrame, work: common.Workspace, perce
                     far = len(differ) > limit.far * union and len(new) > limit.far_new * len(own)
                     salted = np.zeros(0, np.int64)
                     if far:
-                        salted = np.sort((((new.astype(np.uint64) ^ (np.uint64(p * int(_C1) & 0xFFFFFFFFFFFFFFFF))) * _C2) >> np.uint64(1)).astype(np.int64))[:K]
+                        salted = np.sort((((new.astype(np.uint64) ^ (np.uint64(p * int(_C1) & 0xFFFFFFFFFFFFFFFF))) * _C2) >> np.uint64(1)).astype(np.int64))
+                        salted = salted if len(own) <= WHOLE else salted[:K]
                     rows.append((p, x, len(own), ok, near, differ if near else differ[:0], salted))
                 columns = list(zip(*rows, strict=True))
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32)), pa.array(np.concatenate(c))) for c in columns[5:]]
@@ -285,8 +297,8 @@ def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tu
     prints = work.save(_prints(documents), "prints")
     nodes = prints.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
     nodes = work.save(nodes.select("k1", "k2", F.col("x.doc_id").alias("sid"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")), "nodes")
-    entries = work.save(_first_values(nodes, bounds(percent).share), "lists-0")
-    candidates, edges = [], []
+    entries = work.save(_first_values(nodes, percent, bounds(percent).share, K), "lists-0")
+    candidates, edges, held = [], [], documents
     for turn in itertools.count(1):
         candidates.append(work.save(_list_pairs(entries.where(f"members <= {LIST}"), percent), f"candidates-{turn}"))
         long = entries.where(f"members > {LIST}")
@@ -299,15 +311,19 @@ def links(documents: DataFrame, work: common.Workspace, percent: int = 85) -> tu
         work.drop(f"lists-{turn - 1}", f"pivots-{turn}")
         if star.isEmpty():
             break
-        refined = work.save(_refine(star, documents, work, percent, f"star-{turn}"), f"refined-{turn}")
-        work.drop(f"star-{turn}", f"star-{turn}-used", f"star-{turn}-texts")
+        refined = work.save(_refine(star, held, work, percent, f"star-{turn}"), f"refined-{turn}")
+        work.drop(f"star-{turn}", f"star-{turn}-used")
+        if turn == 1:  # all members and pivots of later rounds are members of this one
+            held = documents.sparkSession.read.schema(documents.schema).parquet(f"{work.root}/star-1-texts")
+        else:
+            work.drop(f"star-{turn}-texts")
         edges.append(work.save(refined.where("linked").select(F.col("p").alias("a"), F.col("sid").alias("b")), f"linked-{turn}"))
         edges.append(work.save(_near_links(refined, percent), f"near-{turn}"))
         far = refined.where("size(sketch) > 0").select(F.struct("p", "sid").alias("sid"), "n", "sketch")
-        entries = work.save(_first_values(far, FAR_SHARE).withColumn("sid", F.col("sid.sid")), f"lists-{turn}")
+        entries = work.save(_first_values(far, percent, FAR_SHARE, WHOLE).withColumn("sid", F.col("sid.sid")), f"lists-{turn}")
         work.drop(f"refined-{turn}")
     pairs = work.save(_estimate(functools.reduce(DataFrame.unionAll, candidates).distinct(), nodes, percent), "pairs")
-    work.drop(*(f"candidates-{k}" for k in range(1, turn + 1)))
+    work.drop("star-1-texts", *(f"candidates-{k}" for k in range(1, turn + 1)))
     found = functools.reduce(DataFrame.unionAll, edges, _confirm(pairs, documents, work, percent))
     found = work.save(found, "edges")
     work.drop("pairs", "pair-used", "pair-texts", *(f"{name}-{k}" for name in ("linked", "near") for k in range(1, turn + 1)))

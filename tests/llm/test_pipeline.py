@@ -172,6 +172,26 @@ def test_near_duplicates_at_80(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(root)
 
 
+def test_rounds_of_common_lines(spark, monkeypatch):
+    """Texts dealt from a few common lines take few rounds, and only the first one reads the table for texts."""
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    lines = [" ".join(draw.choice(words) for _ in range(40)) for _ in range(10)]
+    texts = ["\n".join(draw.sample(lines, 3)) for _ in range(400)]
+    read, refine = [], near_duplicates._refine
+
+    def seen(star, documents, *rest):
+        read.append(documents.inputFiles())
+        assert len(read) <= 4
+        return refine(star, documents, *rest)
+
+    monkeypatch.setattr(near_duplicates, "_refine", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(components(texts, 85)))
+    assert len(read) >= 2 and all("/star-1-texts/" in f for files in read[1:] for f in files) and all(read[1:])
+
+
 def test_bounds_follow_percent():
     assert near_duplicates.bounds(85) == (27 / 48, 0.45, 0.30, 0.43, 0.25)
     for percent in range(near_duplicates.LEAST, 101):
