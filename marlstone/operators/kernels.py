@@ -9,6 +9,8 @@ from collections import Counter, OrderedDict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,36 +205,88 @@ def allocate(options: DataFrame, group: str, budget: float) -> DataFrame:
     return options.groupBy(group).applyInPandas(run, f"{group} {dict(options.dtypes)[group]}, item long, level long")
 
 
-def cache_hits(trace: list, size: int, policy: str, seed: list | None = None) -> int:
-    """Hits of an LRU or LFU cache over a trace. LFU drops the value used least in the whole trace so far (uses
+class Cache:
+    """An LRU or LFU cache that a trace is fed to part by part. LFU drops the value used least in the whole trace so far (uses
     before an eviction count on), the longest untouched of several. ``seed`` fills the cache first, up to its size."""
-    held: OrderedDict = OrderedDict.fromkeys((seed or [])[:size])
-    uses: Counter = Counter()
-    hits = 0
-    for x in trace:
-        if x in held:
-            hits += 1
-            held.move_to_end(x)
-        else:
-            if len(held) >= size:
-                held.pop(next(iter(held)) if policy == "lru" else min(held, key=uses.__getitem__))
-            held[x] = None
-        uses[x] += 1
-    return hits
+
+    def __init__(self, size: int, policy: str, seed: list | None = None):
+        self.size, self.policy, self.hits = size, policy, 0
+        self.held: OrderedDict = OrderedDict.fromkeys((seed or [])[:size])
+        self.uses: Counter = Counter()
+
+    def feed(self, trace: list) -> None:
+        held, uses, lru = self.held, self.uses, self.policy == "lru"
+        for x in trace:
+            if x in held:
+                self.hits += 1
+                held.move_to_end(x)
+            else:
+                if len(held) >= self.size:
+                    held.pop(next(iter(held)) if lru else min(held, key=uses.__getitem__))
+                held[x] = None
+            if not lru:
+                uses[x] += 1
+
+
+def cache_hits(trace: list, size: int, policy: str, seed: list | None = None) -> int:
+    """Hits of a cache over a trace."""
+    cache = Cache(size, policy, seed)
+    cache.feed(trace)
+    return cache.hits
+
+
+def _in_order(rows: DataFrame, group: str, order: list) -> DataFrame:
+    """Each group's rows in one task, one after the other in ``order``; sorted by Spark, so that no task holds a group."""
+    return rows.repartition(group).sortWithinPartitions(group, *order)
+
+
+def _runs(batch, group: str):
+    """(value of ``group``, its rows) for each run of equal values in a batch."""
+    ends = pc.run_end_encode(batch.column(group))
+    begin = 0
+    for value, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+        yield value, batch.slice(begin, end - begin)
+        begin = end
 
 
 def replay_cache(rows: DataFrame, group: str, order: list[str], value: str, sizes=(4, 16), seeds: DataFrame | None = None) -> DataFrame:
     """(group, policy, size, n, hits) of a cache replay over each group's trace. A cache's state depends on all that came
-    before, so a group's trace is one task's. ``seeds`` (group, seed: list) start from a profile."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        trace = f.sort_values(order)[value].tolist()
-        seed = f["_seed"].iloc[0] if "_seed" in f else None
-        return pd.DataFrame([(f[group].iloc[0], p, s, len(trace), cache_hits(trace, s, p, None if seed is None else list(seed))) for p in ("lru", "lfu") for s in sizes], columns=[group, "policy", "size", "n", "hits"])
-
-    chosen = rows.select(group, *order, value)
+    before, so a group's trace is one task's, as a stream: a task holds the caches, uses of each value and one batch. Rows that
+    ``order`` leaves open go by their value. ``seeds`` (group, seed: list) start from a profile; their values come before the trace."""
+    kinds = dict(rows.dtypes)
+    schema = f"{group} {kinds[group]}, policy string, size long, n long, hits long"
+
+    def run(batches):
+        now, seed, n, caches = None, [], 0, []
+
+        def done(kind):
+            made = [[now] * len(caches), [c.policy for c in caches], [c.size for c in caches], [n] * len(caches), [c.hits for c in caches]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, (kind, pa.string(), pa.int64(), pa.int64(), pa.int64()))], [group, "policy", "size", "n", "hits"])
+
+        for batch in batches:
+            kind = batch.schema.field(group).type
+            for key, part in _runs(batch, group):
+                if key != now:
+                    if caches:
+                        yield done(kind)
+                    now, seed, n, caches = key, [], 0, []
+                values, first = part.column(value).to_pylist(), len(part) - part.column("_seed").null_count
+                seed += values[:first]
+                if first < len(values):
+                    caches = caches or [Cache(s, p, seed) for p in ("lru", "lfu") for s in sizes]
+                    trace = values[first:]
+                    n += len(trace)
+                    for cache in caches:
+                        cache.feed(trace)
+        if caches:
+            yield done(kind)
+
+    by = list(dict.fromkeys((*order, value)))
+    trace = rows.select(group, *by, F.lit(None).cast("int").alias("_seed"))
     if seeds is not None:
-        chosen = chosen.join(seeds.withColumnRenamed("seed", "_seed"), group, "left")
-    return chosen.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, policy string, size long, n long, hits long")
+        start = seeds.where(F.col(group).isNotNull()).select(group, F.posexplode("seed").alias("_seed", value))
+        trace = trace.unionByName(start.select(group, "_seed", *[value if c == value else F.lit(None).cast(kinds[c]).alias(c) for c in by]))
+    return _in_order(trace, group, [F.col("_seed").asc_nulls_last(), *by]).select(group, value, "_seed").mapInArrow(run, schema)
 
 
 def prefix_hits(prompts: list[list], page: int = 16, capacity: int = 64) -> list[int]:

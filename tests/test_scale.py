@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 
+from marlstone.operators import kernels as K
 from marlstone.plans import similarity
 
 
@@ -16,3 +17,19 @@ def test_repeated_spans_of_long_texts(spark, tmp_path):
     got = {tuple(r) for r in similarity.repeated_spans(spark, str(tmp_path)).collect()}
     assert got == {(3, 9 + 69, 1), (4, 1, 2), (7, 60_000 - 31, 1)}
     assert time.monotonic() - began < 60
+
+
+def test_replay_holds_no_group(spark):
+    draw = np.random.default_rng(5)
+    trace = [(int(k % 3) or None, k // 2, int(draw.integers(0, 40) ** 2 // 100)) for k in range(900)]
+    rows = spark.createDataFrame(trace, "g long, at long, v long").repartition(5)
+    seeds = spark.createDataFrame([(1, [3, 5, 0]), (7, [1])], "g long, seed array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = K.replay_cache(rows, "g", ["at"], "v", (2, 5), seeds)
+        got = {tuple(r) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    of = {g: [v for _, _, v in sorted((x for x in trace if x[0] == g), key=lambda x: x[1:])] for g in (None, 1, 2)}
+    assert got == {(g, p, s, len(t), K.cache_hits(t, s, p, [3, 5, 0] if g == 1 else None)) for g, t in of.items() for p in ("lru", "lfu") for s in (2, 5)}
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
