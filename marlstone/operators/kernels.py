@@ -289,35 +289,67 @@ def replay_cache(rows: DataFrame, group: str, order: list[str], value: str, size
     return _in_order(trace, group, [F.col("_seed").asc_nulls_last(), *by]).select(group, value, "_seed").mapInArrow(run, schema)
 
 
-def prefix_hits(prompts: list[list], page: int = 16, capacity: int = 64) -> list[int]:
-    """Pages of each prompt found in a prefix cache of chained keys; the longest idle page goes first, ends before starts."""
-    held: OrderedDict = OrderedDict()
-    out = []
-    for words in prompts:
-        keys, key = [], b""
-        for i in range(0, len(words) - page + 1, page):
-            key = hashlib.blake2b(key + "\0".join(words[i:i + page]).encode(), digest_size=16).digest()
-            keys.append(key)
-        found = 0
+def chained_keys(words: list[str], page: int, most: int) -> list[bytes]:
+    """Digests of the first ``most`` whole pages of a text, each over the one before."""
+    keys, key = [], b""
+    for i in range(0, min(len(words) - page + 1, most * page), page):
+        key = hashlib.blake2b(key + "\0".join(words[i:i + page]).encode(), digest_size=16).digest()
+        keys.append(key)
+    return keys
+
+
+class PrefixCache:
+    """A prefix cache of chained keys that is fed one prompt after the other; the longest idle page goes first, ends before starts.
+
+    After a prompt its first pages are the latest touched, so of one with more than ``capacity`` pages just the first
+    ``capacity`` stay, and no more can be found: later pages of a prompt change nothing and need not be given.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.held = capacity, OrderedDict()
+
+    def feed(self, keys: list[bytes]) -> int:
+        held, found = self.held, 0
         while found < len(keys) and keys[found] in held:
             found += 1
-        out.append(found)
         for k in reversed(keys):  # the chain's start is the last to go
             held[k] = True
             held.move_to_end(k)
-        while len(held) > capacity:
+        while len(held) > self.capacity:
             held.popitem(last=False)
-    return out
+        return found
 
 
-def prefix_cache(rows: DataFrame, group: str, order: str, text: str, page: int = 16) -> DataFrame:
-    """(group, order, pages found) of each text, in order, against the group's prefix cache."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        return f[[group, order]].assign(pages=np.array(prefix_hits([(t or "").split() for t in f[text]], page), np.int64))
+def prefix_hits(prompts: list[list], page: int = 16, capacity: int = 64) -> list[int]:
+    """Pages of each prompt found in a prefix cache."""
+    cache = PrefixCache(capacity)
+    return [cache.feed(chained_keys(words, page, capacity)) for words in prompts]
+
 
+def prefix_cache(rows: DataFrame, group: str, order: str, text: str, page: int = 16, capacity: int = 64) -> DataFrame:
+    """(group, order, pages found) of each text, in order, against the group's prefix cache. Keys are made where a text is read;
+    only they go to the group's task, which holds one batch and the cache."""
     kinds = dict(rows.dtypes)
-    return rows.select(group, order, text).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, pages long")
+    head = f"{group} {kinds[group]}, {order} {kinds[order]}"
+
+    def keyed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):  # words of so many texts at a time
+                part = batch.slice(at, 512)
+                keys = [b"".join(chained_keys((t.as_py() or "").split(), page, capacity)) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary())], [group, order, "keys"])
+
+    def run(batches):
+        now, cache = None, None
+        for batch in batches:
+            pages = []
+            for key, part in _runs(batch, group):
+                if cache is None or key != now:
+                    now, cache = key, PrefixCache(capacity)
+                pages += [cache.feed([k[i:i + 16] for i in range(0, len(k), 16)]) for k in part.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column(order), pa.array(pages, pa.int64())], [group, order, "pages"])
+
+    return _in_order(rows.select(group, order, text).mapInArrow(keyed, f"{head}, keys binary"), group, [order]).mapInArrow(run, f"{head}, pages long")
 
 
 ADMISSION = {("new", "prepare"): "preparing", ("preparing", "commit"): "committing", ("committing", "done"): "ready", ("ready", "release"): "releasing",

@@ -19,6 +19,41 @@ def test_repeated_spans_of_long_texts(spark, tmp_path):
     assert time.monotonic() - began < 60
 
 
+def plain_prefix_hits(prompts, page, capacity):
+    """Every page of every prompt, in a plain list from the longest idle to the latest."""
+    held, out = [], []
+    for words in prompts:
+        keys = [tuple(words[:k]) for k in range(page, len(words) + 1, page)]
+        found = 0
+        while found < len(keys) and keys[found] in held:
+            found += 1
+        out.append(found)
+        for k in reversed(keys):
+            held = [h for h in held if h != k] + [k]
+        held = held[-capacity:]
+    return out
+
+
+def test_prefix_cache_holds_no_group(spark):
+    draw = np.random.default_rng(4)
+    stems = [[f"s{i}" for i in draw.integers(0, 3, 90)] for _ in range(4)]
+    prompts = {k: stems[draw.integers(0, 4)][:draw.integers(0, 91)] + [f"t{i}" for i in draw.integers(0, 2, draw.integers(0, 30))] for k in range(200)}
+    assert K.prefix_hits(list(prompts.values()), 2, 12) == plain_prefix_hits(prompts.values(), 2, 12)
+    rows = spark.createDataFrame([(k % 3 or None, k, " ".join(w) if k else None) for k, w in prompts.items()], "g long, k long, t string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = K.prefix_cache(rows, "g", "k", "t", 2, 12)
+        got = {(r.g, r.k): r.pages for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g in range(3):
+        ids = [k for k in prompts if k % 3 == g]
+        want |= {(g or None, k): n for k, n in zip(ids, plain_prefix_hits([prompts[k] if k else [] for k in ids], 2, 12))}
+    assert got == want
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+
+
 def test_replay_holds_no_group(spark):
     draw = np.random.default_rng(5)
     trace = [(int(k % 3) or None, k // 2, int(draw.integers(0, 40) ** 2 // 100)) for k in range(900)]
