@@ -81,3 +81,15 @@ def test_plain_numbers_keep_their_form():
     from marlstone.functions import records as R
 
     assert [R._plain_number(x) for x in (1e15, 1e16, 123456789012345680.0, 1e-4, 1.5e-5, 1e-7, -0.0, -2.0, 0.1, 1e21, -12.5)] == ["1000000000000000", "10000000000000000", "123456789012345680", "0.0001", "0.000015", "1e-7", "0", "-2", "0.1", "1e+21", "-12.5"]
+
+
+def test_prints_are_made_once(spark):
+    """One pass over the texts for the prints; their numbers as built-in functions make them."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, " a  b\tc d é f g h a b c d é"), (2, "x x x x x x"), (3, None), (4, "a b c d é f"), (5, "a b")], "doc_id long, text string")
+    w = docs.select("doc_id", F.expr(similarity._WORDS).alias("w")).where("size(w) >= 5").selectExpr("doc_id", "w", "explode(sequence(1, size(w) - 4)) as i")
+    want = w.selectExpr("doc_id", "i - 1 as pos", "cast(conv(substring(sha2(array_join(slice(w, i, 5), ' '), 256), 1, 15), 16, 10) as long) as h", "size(array_distinct(slice(w, i, 5))) > 1 as several")
+    for every in (1, 4):
+        assert {tuple(r) for r in similarity.placed_prints(docs, 5, every).collect()} == {tuple(r) for r in want.where(f"h % {every} = 0").collect()}
+    assert similarity.scored(docs)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
